@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from evispark.llm.mixing import mix_shares, mix_sources, sized_documents
+from evispark.llm.spans import shared_shares, shared_spans
 from evispark.llm.splitting import oversized_pieces
 from evispark.llm.tokens import encode_corpus, round_trip
 from evispark.staging import table
@@ -36,7 +37,16 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_shares(sized_documents(table(spark, sf_dir, "documents"), targets), targets)
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mixture": p7_mixture, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans(table(spark, sf_dir, "documents"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return shared_shares(docs, shared_spans(docs))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _LIMITED = r"""
 WITH lim AS (SELECT item_kind, lower(regexp_replace(section_type, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS st, min(max_chars) AS max_chars FROM split_limits GROUP BY 1, 2),
