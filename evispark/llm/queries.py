@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evispark.llm.mixing import mix_shares, mix_sources, sized_documents
+from evispark.llm.near import alike_groups, alike_pairs
 from evispark.llm.spans import shared_shares, shared_spans
 from evispark.llm.splitting import oversized_pieces
 from evispark.llm.tokens import encode_corpus, round_trip
+from evispark.llm.vectors import nearest_vectors, neighbour_pairs
 from evispark.staging import table
 
 
@@ -19,6 +22,30 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).filter("piece_no > 1").select("item_kind", "item_id").distinct()
 
 
+def _claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field_name, id, text) of the three fields in which records are compared."""
+    field = lambda c: F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text"))
+    claims = table(spark, sf_dir, "extracted_claims").select(F.col("claim_id").alias("id"), F.explode(F.array(field("claim_text"), field("normalized_text"))).alias("x"))
+    quotes = table(spark, sf_dir, "claim_candidates").select(F.col("candidate_id").alias("id"), field("source_quote").alias("x"))
+    return claims.unionByName(quotes).select("x.field_name", "id", "x.text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alike_pairs(_claim_texts(spark, sf_dir))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alike_groups(_claim_texts(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_pairs(nearest_vectors(table(spark, sf_dir, "embedding_recordings")))
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embedding_recordings")).select("model", "vec_id", "other", F.round("cosine", 9).alias("cosine"), "rank")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -46,7 +73,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_shares(docs, shared_spans(docs))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _LIMITED = r"""
 WITH lim AS (SELECT item_kind, lower(regexp_replace(section_type, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS st, min(max_chars) AS max_chars FROM split_limits GROUP BY 1, 2),
