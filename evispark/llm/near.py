@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.staging import stage
+from evispark.staging import shuffle_partitions, stage
 
 MIN_WORDS = 8
 #: Sets whose smaller partner has more words than this are sharded by single words.
@@ -36,6 +36,8 @@ PAIR_WORDS = 64
 COMMON_SHARE = 0.001
 #: Shards with more rows than this are cut into tiles.
 TILE = 20_000
+#: A part, the shards of one task, has the keys of about as many sets.
+SETS_PER_PART = 40_000
 _WORD = re.compile("[a-z0-9]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -114,8 +116,56 @@ class _Words(dict):
         return self[word]
 
 
-def _shard_rows(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """(key, sid, n, lead, fp) of (field_name, sid, n, words); lead: the row may be the smaller partner."""
+def _packed(parts: int, sid: np.ndarray, n: np.ndarray, fp: np.ndarray, key: np.ndarray, lead: np.ndarray, who: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row (part, data) per part of the keys. A part's data lists each set once, with the keys it has there."""
+    part = (key % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((who, part))
+    key, lead, who, part = key[order], lead[order], who[order], part[order]
+    begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    names, data = [], []
+    for a, b in zip(begins, [*begins[1:], part.size], strict=True):
+        sets, count = np.unique(who[a:b], return_counts=True)
+        short = ((key[a:b] >> np.uint64(25)) << np.uint64(1)) | lead[a:b].astype(np.uint64)
+        head = np.array([sets.size, b - a], dtype="<i8").tobytes()
+        names.append(int(part[a]))
+        data.append(head + sid[sets].astype("<i8").tobytes() + fp[sets].astype("<u8").tobytes() + n[sets].astype("<i4").tobytes() + count.astype("<i4").tobytes() + short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+    yield pa.record_batch([pa.array(names, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
+    """(key, sid, n, lead, fp) of a row of :func:`_packed`."""
+    sets, keys = np.frombuffer(data, dtype="<i8", count=2)
+    at, cols = 16, []
+    for kind in ("<i8", "<u8", "<i4", "<i4"):
+        cols.append(np.frombuffer(data, dtype=kind, count=sets, offset=at))
+        at += cols[-1].nbytes
+    wide = np.zeros((keys, 8), dtype=np.uint8)
+    wide[:, :5] = np.frombuffer(data, dtype=np.uint8, offset=at).reshape(keys, 5)
+    short = wide.view("<u8")[:, 0]
+    sid, fp, n, count = cols
+    return short >> np.uint64(1), np.repeat(sid, count), np.repeat(n.astype(np.int64), count), (short & np.uint64(1)).astype(bool), np.repeat(fp, count)
+
+
+def _shard_rows(batches: Iterator[pa.RecordBatch], common: dict[str, int], parts: int) -> Iterator[pa.RecordBatch]:
+    """Keys of the shards of (field_name, sid, n, words), packed by part; lead: the set may be the smaller partner there."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for found in _shard_keys(batches, common):
+        held.append(found)
+        if sum(x[3].size for x in held) >= 2_000_000:
+            yield from _joined(held, parts)
+            held = []
+    if held:
+        yield from _joined(held, parts)
+
+
+def _joined(held: list[tuple[np.ndarray, ...]], parts: int) -> Iterator[pa.RecordBatch]:
+    before = np.cumsum([0, *(x[0].size for x in held)])
+    sid, n, fp, key, lead = (np.concatenate([x[i] for x in held]) for i in range(5))
+    yield from _packed(parts, sid, n, fp, key, lead, np.concatenate([x[5] + b for x, b in zip(held, before[:-1], strict=True)]))
+
+
+def _shard_keys(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(sid, n, fp) of the sets of a batch and (key, lead, set's place in the batch) of their shards."""
     table = _Words(common)
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
@@ -155,13 +205,7 @@ def _shard_rows(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> It
             if not rows:
                 continue
             who = np.concatenate(rows)
-            yield pa.record_batch(
-                [pa.array((np.concatenate(keys) >> np.uint64(24)).view(np.int64)), pa.array(sid[who]), pa.array(n[who].astype(np.int32)), pa.array(np.concatenate(leads)), pa.array(fp[who].view(np.int64))],
-                names=["key", "sid", "n", "lead", "fp"],
-            )
-
-
-_ROW = "key bigint, sid bigint, n int, lead boolean, fp bigint"
+            yield sid, n, fp, np.concatenate(keys), np.concatenate(leads), who
 
 
 def _near(fp: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -238,40 +282,47 @@ def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]], sid: np.ndarray) -> pa
 
 
 def _shards(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBatch]:
-    """Candidates of rows that are sorted by (key, n); rows of shards larger than ``tile`` go on as tiles."""
-    for rows in _whole_keys(batches):
-        key, sid, n, lead, fp = (rows[c].to_numpy(zero_copy_only=False) for c in ("key", "sid", "n", "lead", "fp"))
-        n, fp = n.astype(np.int64), fp.view(np.uint64)
-        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.concatenate([begins, [key.size]]))
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        small = min(2048, tile)
-        usual = np.repeat(sizes <= small, sizes)
-        of = np.flatnonzero(usual)
-        pairs += [(of[i], of[j]) for i, j in _linear(key[of], n[of], lead[of], fp[of])]
-        for begin, size in zip(begins[sizes > small], sizes[sizes > small], strict=True):
-            part = np.arange(begin, begin + size)
-            if size <= tile:
-                pairs += [(part[i], part[j]) for i, j in vantage_pairs(n[part], lead[part], fp[part])]
-                continue
-            block = np.arange(size) * -(-size // tile) // size
-            for x in range(block[-1] + 1):  # a row goes to the tiles of its block with each block
-                for y in range(x, block[-1] + 1):
-                    for side, b in enumerate(dict.fromkeys((x, y))):
-                        r = part[block == b]
-                        name = _mixed(np.array([key[begin] * 1_000_003 + x * 10_007 + y], dtype=np.int64).view(np.uint64)).view(np.int64)[0]
-                        yield _candidate_batch(sid[r], sid[r], np.full(r.size, name), np.full(r.size, side), n[r], lead[r], fp[r].view(np.int64))
-        yield _distinct(pairs, sid)
-
-
-def _whole_keys(batches: Iterator[pa.RecordBatch], size: int = 100_000) -> Iterator[pa.Table]:
+    """Candidates of packed parts, sorted by part; rows of shards larger than ``tile`` go on as tiles."""
+    for rows in _whole_keys(batches, "part", 1):
+        part, data = rows["part"].to_numpy(), rows["data"]
+        for p in np.unique(part):
+            cols = zip(*(_unpacked(data[int(i)].as_py()) for i in np.flatnonzero(part == p)), strict=True)
+            yield from _shards_of_part(*(np.concatenate(c) for c in cols), tile)
+
+
+def _shards_of_part(key: np.ndarray, sid: np.ndarray, n: np.ndarray, lead: np.ndarray, fp: np.ndarray, tile: int) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((n, key))
+    key, sid, n, lead, fp = key[order], sid[order], n[order], lead[order], fp[order]
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.concatenate([begins, [key.size]]))
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    small = min(2048, tile)
+    usual = np.repeat(sizes <= small, sizes)
+    of = np.flatnonzero(usual)
+    pairs += [(of[i], of[j]) for i, j in _linear(key[of], n[of], lead[of], fp[of])]
+    for begin, size in zip(begins[sizes > small], sizes[sizes > small], strict=True):
+        part = np.arange(begin, begin + size)
+        if size <= tile:
+            pairs += [(part[i], part[j]) for i, j in vantage_pairs(n[part], lead[part], fp[part])]
+            continue
+        block = np.arange(size) * -(-size // tile) // size
+        for x in range(block[-1] + 1):  # a row goes to the tiles of its block with each block
+            for y in range(x, block[-1] + 1):
+                for side, b in enumerate(dict.fromkeys((x, y))):
+                    r = part[block == b]
+                    name = _mixed(np.array([int(key[begin]) * 1_000_003 + x * 10_007 + y], dtype=np.int64).view(np.uint64)).view(np.int64)[0]
+                    yield _candidate_batch(sid[r], sid[r], np.full(r.size, name), np.full(r.size, side), n[r], lead[r], fp[r].view(np.int64))
+    yield _distinct(pairs, sid)
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch], column: str = "key", size: int = 100_000) -> Iterator[pa.Table]:
     held, rows = [], 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
         if rows >= size:
             table = pa.Table.from_batches(held)
-            key = table["key"].to_numpy()
+            key = table[column].to_numpy()
             cut = int(np.searchsorted(key, key[-1], "left"))
             if cut:
                 yield table.slice(0, cut)
@@ -301,8 +352,9 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def alike_sets(sets: DataFrame, tile: int = TILE) -> DataFrame:
     """(field_name, s_a, s_b) of the staged distinct sets (field_name, sid, s, n, words) with similarity of 0.7 or more; s_a < s_b."""
     common = sets.sparkSession.sparkContext.broadcast(_common_words(sets))
-    shards = sets.select("field_name", "sid", "n", "words").mapInArrow(lambda it: _shard_rows(it, common.value), _ROW)
-    found = stage(shards.repartition("key").sortWithinPartitions("key", "n").mapInArrow(lambda it: _shards(it, tile), _CANDIDATE), "candidates")
+    parts = max(shuffle_partitions(sets.sparkSession), -(-sets.count() // SETS_PER_PART))
+    shards = sets.select("field_name", "sid", "n", "words").mapInArrow(lambda it: _shard_rows(it, common.value, parts), "part int, data binary")
+    found = stage(shards.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _shards(it, tile), _CANDIDATE), "candidates")
     tiles = found.filter("tile is not null").repartition("tile").sortWithinPartitions("tile", "n").mapInArrow(_tiles, _CANDIDATE)
     pairs = found.filter("tile is null").unionByName(tiles).select("a", "b").distinct()
     left = sets.select(F.col("sid").alias("a"), "field_name", F.col("s").alias("s_l"), F.col("words").alias("words_l"), F.col("n").alias("n_l"))
