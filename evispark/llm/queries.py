@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evispark.llm.mixing import mix_shares, mix_sources, sized_documents
 from evispark.llm.near import alike_groups, alike_pairs
+from evispark.llm.scans import Repair
 from evispark.llm.spans import shared_shares, shared_spans
 from evispark.llm.splitting import oversized_pieces
 from evispark.llm.tokens import encode_corpus, round_trip
@@ -46,6 +47,14 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(table(spark, sf_dir, "embedding_recordings")).select("model", "vec_id", "other", F.round("cosine", 9).alias("cosine"), "rank")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Repair(table(spark, sf_dir, "paper_pages"), table(spark, sf_dir, "papers")).found()
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Repair(table(spark, sf_dir, "paper_pages"), table(spark, sf_dir, "papers")).paragraphs()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -73,7 +82,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_shares(docs, shared_spans(docs))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _LIMITED = r"""
 WITH lim AS (SELECT item_kind, lower(regexp_replace(section_type, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS st, min(max_chars) AS max_chars FROM split_limits GROUP BY 1, 2),
