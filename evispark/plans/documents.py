@@ -152,7 +152,7 @@ SQL = {
     "section_intervals": f"WITH {_SECTIONS} SELECT * FROM sections",
     "chunk_section_tag": f"WITH RECURSIVE {_SECTIONS}{_CHUNKS}{_TAGGED} SELECT page_id, page_number, start_char, end_char, section_title, section_type FROM tagged",
     "chunk_section_match": f"WITH RECURSIVE {_SECTIONS}{_CHUNKS}{_TAGGED}, m AS (SELECT t.page_id, t.start_char, s.pos AS section_pos, row_number() OVER (PARTITION BY t.page_id, t.start_char ORDER BY s.start_char DESC NULLS LAST, s.pos NULLS LAST) AS n FROM tagged t LEFT JOIN sections s ON s.paper_id = t.paper_id AND t.page_number BETWEEN s.page_start AND s.page_end AND (s.title = t.section_title OR s.section_type = t.section_type)) SELECT page_id, start_char, section_pos FROM m WHERE n = 1",
-    "chunk_gold_asof": f"WITH RECURSIVE {_HITS}{_CHUNKS}, c AS (SELECT *, page_number * 1000000000 + start_char AS at FROM chunks), h AS (SELECT paper_id, section_type, page_number * 1000000000 + start_char AS at FROM hits) SELECT c.page_id, c.start_char, coalesce(h.section_type, 'other') AS governing FROM c ASOF LEFT JOIN h ON c.paper_id = h.paper_id AND c.at >= h.at",
+    "chunk_gold_asof": f"WITH RECURSIVE {_HITS}{_CHUNKS}, c AS (SELECT *, page_number::BIGINT * 1000000000 + start_char AS at FROM chunks), h AS (SELECT paper_id, section_type, page_number::BIGINT * 1000000000 + start_char AS at FROM hits) SELECT c.page_id, c.start_char, coalesce(h.section_type, 'other') AS governing FROM c ASOF LEFT JOIN h ON c.paper_id = h.paper_id AND c.at >= h.at",
     "title_types": f"SELECT section_title, count(*) AS n, {_classify('section_title')} AS section_type FROM text_chunks GROUP BY 1",
     "body_sentences": rf"WITH s AS (SELECT DISTINCT ON (synthesis_id) synthesis_id, body FROM syntheses), l AS (SELECT synthesis_id, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '#')) AS ls FROM s), p AS (SELECT synthesis_id, list_filter(flatten(list_transform(ls, lambda x: string_split(regexp_replace(regexp_replace(x, '^(?:[-*+]|\d+\.)\s+', ''), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)))), lambda x: regexp_matches(x, '[^\s\x0b\x1c-\x1f\x85\p{{Z}}]')) AS ss FROM l) SELECT synthesis_id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence FROM p",
     "cited_numbers": rf"WITH {_PAGES}, g AS (SELECT page_id, unnest(flatten(list_transform(regexp_extract_all(text, '{_CITE}'), lambda x: string_split(x, ',')))) AS part FROM pages), e AS (SELECT page_id, list_transform(regexp_extract_all(part, '\d+'), lambda x: try_cast(x AS INT)) AS ends FROM g), n AS (SELECT DISTINCT page_id, unnest(range(ends[1], ends[len(ends)] + 1)) AS k FROM e) SELECT p.page_id, CASE WHEN p.text IS NULL THEN '' ELSE coalesce((SELECT string_agg(k::VARCHAR, ',' ORDER BY k) FROM n WHERE n.page_id = p.page_id), '') END AS numbers FROM pages p",
