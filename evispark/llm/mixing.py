@@ -79,7 +79,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, budget: int | None = None,
     source or of a source without a target are never chosen; ``repeat_no`` runs from 1 and stays
     within ``max_repeats``. Ties go by source and doc_id.
     """
-    spark = sized.sparkSession
+    spark, sized = sized.sparkSession, sized.select("doc_id", "source", "n_tokens")
     wanted = read_targets(targets)
     totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).join(broadcast_if_small(targets.select("source").distinct()), "source", "left_semi").collect()}  # at most one row a target
     limits = source_limits(wanted, totals, budget)

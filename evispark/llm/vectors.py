@@ -50,6 +50,12 @@ def decode_vector(value: str | None, size: int) -> bytes | None:
     return raw if np.isfinite(x).all() and x.any() else None
 
 
+def _direction(raw: bytes) -> bytes:
+    """The value but for a power of two: vectors that are equal in this have exactly equal cosines with all others."""
+    x = np.frombuffer(raw, dtype="<f2").astype(np.float64)
+    return (x / 2.0 ** np.frexp(np.abs(x).max())[1]).tobytes()
+
+
 def _matrix(raw: list[bytes]) -> np.ndarray:
     """Unit vectors in single precision."""
     x = np.frombuffer(b"".join(raw), dtype="<f2").reshape(len(raw), -1).astype(np.float32)
@@ -57,7 +63,7 @@ def _matrix(raw: list[bytes]) -> np.ndarray:
 
 
 def readable_vectors(recordings: DataFrame) -> DataFrame:
-    """(model, vec_id, vec, h): the readable values of known models; h is a hash of the value. Rows may repeat."""
+    """(model, vec_id, vec, h): the readable values of known models; h is a hash of the direction. Rows may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -67,7 +73,7 @@ def readable_vectors(recordings: DataFrame) -> DataFrame:
             for i, (model, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 raw = decode_vector(value, DIMENSIONS[model])
                 if raw is not None:
-                    keep.append(i), vec.append(raw), h.append(xxhash.xxh64_intdigest(raw))
+                    keep.append(i), vec.append(raw), h.append(xxhash.xxh64_intdigest(_direction(raw)))
             at = pa.array(keep, pa.int32())
             yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(vec, pa.binary()), pa.array(np.array(h, dtype=np.uint64).view(np.int64))], names=["model", "vec_id", "vec", "h"])
 
@@ -222,7 +228,7 @@ def nearest_vectors(recordings: DataFrame, k: int = K, recall: float = RECALL) -
     """(model, vec_id, other, cosine, rank): for each readable vector its ``k`` most similar ones of its model at MIN_COSINE or more.
 
     Equal similarities go by the smaller id; an id that stands on several rows counts once. Of more than k + 1
-    ids with one and the same value only the k + 1 least can be among anybody's neighbours: the others are neither filed
+    ids with one and the same direction only the k + 1 least can be among anybody's neighbours: the others are neither filed
     nor sent, and their own neighbours are the least ids of their value. Leaves that hold more than BLOCK_ROWS are cut into
     blocks, each in its own task. Unreadable values and unknown models have no rows.
     """
