@@ -96,4 +96,32 @@ LEFT JOIN lim d ON d.item_kind = i.item_kind AND d.st IS NULL
 WHERE length(i.text) > coalesce(e.max_chars, d.max_chars)
 """
 
-SQL = {"p1_found": _LIMITED}
+_ALIKE = r"""
+WITH t AS (
+  SELECT 'claim_text' AS field_name, claim_id AS id, claim_text AS text FROM extracted_claims UNION ALL
+  SELECT 'normalized_text', claim_id, normalized_text FROM extracted_claims UNION ALL
+  SELECT 'source_quote', candidate_id, source_quote FROM claim_candidates),
+s AS (SELECT DISTINCT field_name, id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS ws FROM t WHERE id IS NOT NULL AND text IS NOT NULL),
+k AS (SELECT field_name, id, len(ws) AS n, ws, row_number() OVER (ORDER BY field_name, id, ws) AS r FROM s WHERE len(ws) >= 8),
+w AS (SELECT field_name, id, n, r, unnest(ws) AS word FROM k),
+p AS (SELECT a.field_name, a.id AS id_a, b.id AS id_b FROM w a JOIN w b ON a.field_name = b.field_name AND a.word = b.word AND a.id < b.id AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n)
+  GROUP BY a.field_name, a.id, b.id, a.r, b.r, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*)))
+SELECT DISTINCT field_name, id_a, id_b FROM p
+"""
+
+_SHARED = """
+WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 200),
+g AS (SELECT doc_id, s, md5(substr(text, s + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(n - 199)) AS s FROM t)),
+shared AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+hits AS (SELECT DISTINCT doc_id, s FROM g WHERE h IN (SELECT h FROM shared)),
+marks AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 200 THEN 0 ELSE 1 END AS new FROM hits),
+parts AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS part FROM marks)
+SELECT doc_id, min(s) AS start_char, max(s) + 200 AS end_char FROM parts GROUP BY doc_id, part
+"""
+
+SQL = {
+    "p1_found": _LIMITED,
+    "p3_found": _ALIKE,
+    "p8_found": _SHARED,
+    "p8_shares": f"WITH f AS ({_SHARED}), c AS (SELECT doc_id, sum(end_char - start_char)::BIGINT AS n FROM f GROUP BY 1) SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, coalesce(n, 0) AS shared_chars, round(coalesce(coalesce(n, 0) / nullif(length(text), 0), 0), 9) AS shared_share FROM documents d LEFT JOIN c USING (doc_id)",
+}
