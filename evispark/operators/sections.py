@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evispark.functions.text import SECTION_NUMBER, SECTION_RULES, SECTION_TITLES, classify_title, lines_with_ends, normalize_text, trim_ws
+from evispark.staging import stage
 
 RUNNING_PAGES = 3
 
@@ -47,7 +48,9 @@ def named_headings(pages: DataFrame) -> DataFrame:
     names = "|".join(sorted(SECTION_TITLES, key=lambda t: (-len(t), t)))
     lines = page_lines(pages).withColumn("bare", trim_ws("line"))
     hits = lines.filter(F.col("bare").rlike(rf"(?i)^(?:{SECTION_NUMBER}\.?\s+)?(?:{names})$"))
-    hits = hits.join(running_headers(pages).select("paper_id", F.col("line").alias("bare")), ["paper_id", "bare"], "left_anti")
+    # all lines of one text are hits together, so their pages can be counted among the hits
+    n_pages = F.size(F.collect_set("page_number").over(Window.partitionBy("paper_id", "bare")))
+    hits = hits.withColumn("n_pages", n_pages).filter(F.col("n_pages") < RUNNING_PAGES)
     title = F.regexp_replace("bare", rf"^{SECTION_NUMBER}\.?\s+", "")
     return hits.select("paper_id", "page_id", "page_number", "line_no", "start_char", title.alias("title"), classify_title(normalize_text(title)).alias("section_type"))
 
@@ -58,6 +61,7 @@ def section_intervals(hits: DataFrame, pages: DataFrame) -> DataFrame:
     A section ends on the page of the next heading; at its place if that is the section's own page, else at its first page's length. A paper without
     headings is one section ``Full Text`` of type other, with confidence 0.3.
     """
+    hits = stage(hits, "headings")
     sizes = pages.filter("page_id is not null").dropDuplicates(["page_id"]).select("paper_id", "page_id", "page_number", F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"))
     ends = sizes.groupBy("paper_id").agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"), F.max(F.struct("page_number", "n_chars"))["n_chars"].alias("last_chars"))
     w = Window.partitionBy("paper_id").orderBy("page_number", "start_char")
