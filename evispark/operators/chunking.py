@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evispark.staging import stage
+
 #: What a chunk may end behind, in order of preference.
 DELIMITERS = ("\n\n", ". ", "\n", " ")
 
@@ -56,6 +58,14 @@ def chunk_pages(pages: DataFrame, max_chars: int = 1500, overlap: int = 150) ->
     return rows.mapInArrow(run, "paper_id string, page_id string, page_number int, start_char int, end_char int, text string")
 
 
+def _by_page(sections: DataFrame) -> DataFrame:
+    """``sections`` (s_paper, s_from, s_to, ...) with a row for each page they span: about a row a page, as they follow each other.
+
+    So chunks meet them by an equal (paper, page), and no paper's chunks are compared with all its sections.
+    """
+    return sections.filter("s_to >= s_from").withColumn("s_page", F.explode(F.sequence("s_from", "s_to")))
+
+
 def tag_chunks(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     """Each chunk with the section it lies in: (chunk's columns, section_title, section_type).
 
@@ -66,7 +76,7 @@ def tag_chunks(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     names = [c for c in chunks.columns if c not in ("section_title", "section_type")]
     c = chunks.select(*names).withColumn("_row", F.struct("paper_id", "page_id", "page_number", "start_char"))
     s = sections.select(F.col("paper_id").alias("s_paper"), F.col("page_start").alias("s_from"), F.col("page_end").alias("s_to"), F.col("start_char").alias("s_char"), "pos", F.col("title").alias("section_title"), "section_type")
-    rows = c.join(s, (F.col("paper_id") == F.col("s_paper")) & F.col("page_number").between(F.col("s_from"), F.col("s_to")), "left")
+    rows = c.join(_by_page(s), (F.col("paper_id") == F.col("s_paper")) & (F.col("page_number") == F.col("s_page")), "left")
     begun = F.coalesce((F.col("s_from") == F.col("page_number")) & (F.col("s_char") <= F.col("start_char")), F.lit(False))
     w = Window.partitionBy("_row").orderBy(begun.desc(), F.when(begun, F.col("s_char")).otherwise(F.col("s_from")).desc_nulls_last(), F.col("pos").asc_nulls_last())
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*names, "section_title", "section_type")
@@ -80,18 +90,25 @@ def match_sections(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     """
     names = chunks.columns
     s = sections.select(F.col("paper_id").alias("s_paper"), F.col("page_start").alias("s_from"), F.col("page_end").alias("s_to"), F.col("start_char").alias("s_char"), F.col("pos").alias("section_pos"), F.col("title").alias("s_title"), F.col("section_type").alias("s_type"))
-    on = (F.col("paper_id") == F.col("s_paper")) & F.col("page_number").between(F.col("s_from"), F.col("s_to")) & ((F.col("section_title") == F.col("s_title")) | (F.col("section_type") == F.col("s_type")))
+    on = (F.col("paper_id") == F.col("s_paper")) & (F.col("page_number") == F.col("s_page")) & ((F.col("section_title") == F.col("s_title")) | (F.col("section_type") == F.col("s_type")))
     w = Window.partitionBy("paper_id", "page_id", "page_number", "start_char").orderBy(F.col("s_char").desc_nulls_last(), F.col("section_pos").asc_nulls_last())
-    return chunks.join(s, on, "left").withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*names, "section_pos")
+    return chunks.join(_by_page(s), on, "left").withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*names, "section_pos")
 
 
 def governing_heading(chunks: DataFrame, headings: DataFrame) -> DataFrame:
     """(paper_id, page_id, page_number, start_char, governing): the type of the last heading at or before each chunk, else ``other``.
 
-    Both are ordered by (page, place) within the paper in one pass: a union and a running last value, no range join.
+    Both are ordered by (page, place) in one pass: a union, sorted into ranges, with a running last value in each range. What a range begins
+    with comes from the last heading of the ranges before it, so a paper of any length is spread over many tasks and nothing is joined by range.
     """
-    h = headings.select("paper_id", F.lit(None).cast("string").alias("page_id"), "page_number", "start_char", F.col("section_type").alias("kind"), F.lit(0).alias("side"))
-    c = chunks.select("paper_id", "page_id", "page_number", "start_char", F.lit(None).cast("string").alias("kind"), F.lit(1).alias("side"))
-    w = Window.partitionBy("paper_id").orderBy("page_number", "start_char", "side").rowsBetween(Window.unboundedPreceding, 0)
-    rows = h.unionByName(c).withColumn("governing", F.coalesce(F.last("kind", ignorenulls=True).over(w), F.lit("other")))
-    return rows.filter("side = 1").select("paper_id", "page_id", "page_number", "start_char", "governing")
+    h = headings.select("paper_id", F.lit(None).cast("string").alias("page_id"), "page_number", F.col("start_char").cast("bigint").alias("start_char"), F.col("section_type").alias("kind"), F.lit(0).alias("side"))
+    c = chunks.select("paper_id", "page_id", "page_number", F.col("start_char").cast("bigint").alias("start_char"), F.lit(None).cast("string").alias("kind"), F.lit(1).alias("side"))
+    order = ["paper_id", "page_number", "start_char", "side"]
+    rows = stage(h.unionByName(c).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    last = rows.filter("kind is not null").groupBy("part").agg(F.max(F.struct(*order, "kind")).alias("x")).select("part", F.struct(F.col("x.paper_id").alias("paper"), F.col("x.kind").alias("kind")).alias("x"))
+    parts = rows.select("part").distinct().join(last, "part", "left")
+    carried = parts.select("part", F.last("x", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))  # a row per range
+    w = Window.partitionBy("part", "paper_id").orderBy("page_number", "start_char", "side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("own", F.last("kind", ignorenulls=True).over(w)).filter("side = 1").join(F.broadcast(carried), "part")
+    before = F.when(F.col("before.paper") == F.col("paper_id"), F.col("before.kind"))
+    return rows.select("paper_id", "page_id", "page_number", F.col("start_char").cast("int").alias("start_char"), F.coalesce("own", before, F.lit("other")).alias("governing"))

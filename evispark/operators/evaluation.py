@@ -7,7 +7,8 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from evispark.operators.selection import global_numbers
 
 
 def rate(n: Column, of: Column) -> Column:
@@ -47,7 +48,7 @@ def cohen_kappa(matrix: DataFrame) -> DataFrame:
 def most_common(rows: DataFrame, column: str) -> DataFrame:
     """(value, n, rank): counts, the largest first, ties by value."""
     counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("value").asc_nulls_last())))
+    return global_numbers(counts.withColumn("_o", -F.col("n")), ["_o", "value"], "rank").drop("_o")
 
 
 def unpivot_metrics(rows: DataFrame, id_col: str) -> DataFrame:

@@ -26,10 +26,30 @@ def unclaimed(chunks: DataFrame, claims: DataFrame) -> DataFrame:
     return chunks.filter("chunk_id is not null").dropDuplicates(["chunk_id"]).join(claims.select("chunk_id").filter("chunk_id is not null").distinct(), "chunk_id", "left_anti")
 
 
+def global_numbers(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """``rows`` with a number from 1 in a total order: ranges are sorted apart and numbered on from each other."""
+    parts = stage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row per range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn(name, own).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def round_robin(rows: DataFrame, group: str, order: list[Column | str], limit: int | None = None) -> DataFrame:
-    """``rows`` with ``round``: the first of each group, then the second, and so on; ``limit`` cuts that order."""
-    out = rows.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return out if limit is None else out.orderBy("round", group).limit(limit)
+    """``rows`` with ``round``: the first of each group, then the second, and so on; ``limit`` cuts that order.
+
+    With a limit no round beyond it can count, so each group is cut before the shuffle. Without one, rows are numbered in one order
+    of sorted ranges and a group's first number is taken off, so a group with a third of all rows is numbered by many tasks.
+    """
+    if limit is not None:
+        out = rows.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("round") <= limit)
+        return out.orderBy("round", group).limit(limit)
+    keys = [f"_o{i}" for i in range(len(order))]
+    keyed = rows.select("*", *[(F.col(o) if isinstance(o, str) else o).alias(k) for k, o in zip(keys, order, strict=True)])
+    numbered = global_numbers(keyed, [group, *keys], "round").drop(*keys)
+    first = numbered.groupBy(group).agg(F.min("round").alias("_first"))
+    on = numbered[group].eqNullSafe(first[group])
+    return numbered.join(first, on).withColumn("round", F.col("round") - F.col("_first") + 1).drop("_first").drop(first[group])
 
 
 def sample_round_robin(rows: DataFrame, group: str, key: str, limit: int, seed: int = 0) -> DataFrame:
@@ -62,15 +82,6 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def global_numbers(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
-    """``rows`` with a number from 1 in a total order: ranges are sorted apart and numbered on from each other."""
-    parts = stage(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # a row per range
-    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn(name, own).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
-
-
 def next_paper_keys(papers: DataFrame) -> DataFrame:
     """(paper_id, next_key): the keys P001, P002, ... that papers get in order of arrival."""
     return global_numbers(papers.select("paper_id", "created_at"), ["created_at", "paper_id"]).select("paper_id", F.format_string("P%03d", "number").alias("next_key"))
