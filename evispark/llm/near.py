@@ -34,6 +34,7 @@ MIN_WORDS = 8
 PAIR_WORDS = 64
 #: A word in more than this share of all sets is common; at most (mean set size / share) words can be.
 COMMON_SHARE = 0.001
+MAX_COMMON = 200_000
 #: Shards with more rows than this are cut into tiles.
 TILE = 20_000
 #: A part, the shards of one task, has the keys of about as many sets.
@@ -91,8 +92,8 @@ def _common_words(sets: DataFrame) -> dict[str, int]:
                 yield out()
         yield out()
 
-    least = int(sets.count() * COMMON_SHARE)
-    rows = sets.select("words").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > least).collect()
+    least = int(sets.count() * COMMON_SHARE)  # of very many, the most frequent MAX_COMMON: the rest count as rare, which only makes their shards larger
+    rows = sets.select("words").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > least).orderBy(F.col("n").desc(), "word").limit(MAX_COMMON).collect()
     return {r["word"]: r["n"] for r in rows}
 
 

@@ -31,6 +31,8 @@ LEAF_ROWS, BRANCHES = 1024, 8
 RECALL = 0.995
 #: A leaf's vectors are worked on in blocks of this many.
 BLOCK_ROWS = 4096
+#: An id on more rows than this is brought to one row before anything else.
+REPEATS = 8
 
 
 def decode_vector(value: str | None, size: int) -> bytes | None:
@@ -234,7 +236,11 @@ def nearest_vectors(recordings: DataFrame, k: int = K, recall: float = RECALL) -
     """
     vectors = readable_vectors(recordings)
     # copies: only ids and hashes are shuffled; WindowGroupLimit keeps k + 2 rows of a value before the shuffle
-    values = stage(vectors.select("model", "vec_id", "h").distinct(), "values")
+    values = stage(vectors.groupBy("model", "vec_id", "h").agg(F.count("*").alias("rows")), "values")
+    often = values.filter(F.col("rows") > REPEATS).select("model", "vec_id").distinct()
+    if often.limit(1).count():  # an id that was delivered again and again goes on once
+        once = vectors.join(often, ["model", "vec_id"], "left_semi").groupBy("model", "vec_id").agg(F.min("vec").alias("vec"), F.min("h").alias("h"))
+        vectors = vectors.join(often, ["model", "vec_id"], "left_anti").unionByName(once.select(*vectors.columns))
     counts = values.groupBy("model", "h").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1)
     least = values.join(counts, ["model", "h"], "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("model", "h").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     least = stage(least, "copies")
@@ -243,12 +249,14 @@ def nearest_vectors(recordings: DataFrame, k: int = K, recall: float = RECALL) -
     crowded = crowd.limit(1).count() > 0
     kept = vectors.join(crowd.select("model", "vec_id"), ["model", "vec_id"], "left_anti") if crowded else vectors
 
-    sizes = {r["model"]: r["n"] for r in values.groupBy("model").agg(F.count("*").alias("n")).collect()}  # a row a known model
+    sizes = {r["model"]: r["n"] for r in values.groupBy("model").agg(F.countDistinct("vec_id").alias("n")).collect()}  # a row a known model
     trees = {}
     for model, n in sizes.items():
-        ids = values.filter(F.col("model") == model).select("vec_id", F.xxhash64("vec_id").alias("o")).orderBy("o", "vec_id").limit(SAMPLE_ROWS)
-        cut = ids.agg(F.max("o").alias("o")).first()["o"]
-        rows = vectors.filter((F.col("model") == model) & (F.xxhash64("vec_id") <= cut)).select("vec_id", "vec").toArrow() if n > SAMPLE_ROWS else vectors.filter(F.col("model") == model).select("vec_id", "vec").toArrow()
+        own = vectors.filter(F.col("model") == model)
+        if n > SAMPLE_ROWS:
+            cut = values.filter(F.col("model") == model).select(F.xxhash64("vec_id").alias("o")).distinct().orderBy("o").limit(SAMPLE_ROWS).agg(F.max("o").alias("o")).first()["o"]
+            own = own.filter(F.xxhash64("vec_id") <= cut)
+        rows = own.select("vec_id", "vec").toArrow()  # at most SAMPLE_ROWS ids, REPEATS rows each
         sample_ids, first = np.unique(rows["vec_id"].to_numpy(), return_index=True)
         trees[model] = fit_tree(sample_ids, _matrix(rows["vec"].take(pa.array(first)).to_pylist()), n, k, recall)
 

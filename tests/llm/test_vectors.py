@@ -53,7 +53,7 @@ def test_small_tables_are_exact(spark):
     x = clusters(120, 6, 768)
     rows = [(i, "vec-small-0", b64(x[i] * (1 + i % 3))) for i in range(120)]
     rows += [(200 + i, "vec-small-0", b64(x[7])) for i in range(20)] + [(300, "vec-base-1", b64(clusters(1, 1, 1536)[0])), (301, "other", b64(x[0])), (302, None, b64(x[0])), (None, "vec-small-0", b64(x[0])), (303, "vec-small-0", None), (304, "vec-small-0", "x")]
-    rows += rows[:10]
+    rows += rows[:10] + rows[3:4] * 30
     assert found(spark, rows) == brute(rows)
 
 
