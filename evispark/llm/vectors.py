@@ -26,8 +26,8 @@ from evispark.staging import stage
 DIMENSIONS = {"vec-base-1": 1536, "vec-small-0": 768}
 K, MIN_COSINE = 10, 0.5
 #: Bounds of what the driver sees of a model: rows the tree is fitted on and calibrated with.
-SAMPLE_ROWS, SAMPLE_QUERIES = 4096, 512
-LEAF_ROWS, BRANCHES = 1024, 8
+SAMPLE_ROWS = 4096
+LEAF_ROWS, BRANCHES = 1536, 8
 RECALL = 0.995
 #: A leaf's vectors are worked on in blocks of this many.
 BLOCK_ROWS = 4096
@@ -147,22 +147,25 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
 def fit_tree(ids: np.ndarray, x: np.ndarray, n_rows: int, k: int = K, recall: float = RECALL) -> tuple[Tree, int]:
     """(tree, leaves to visit) from a sample ``x`` of ``n_rows`` vectors.
 
-    Leaves hold about LEAF_ROWS of all vectors. Visits are widened until the calibration queries find
-    ``recall`` of their true neighbours in the sample (those at MIN_COSINE or more) in the leaves visited.
+    Leaves hold about LEAF_ROWS of all vectors. A quarter of the sample has no part in the tree: visits are widened until its vectors find
+    ``recall`` of their true neighbours among themselves (those at MIN_COSINE or more) in the leaves visited.
     """
-    tree = Tree(x, max(8, int(len(x) * LEAF_ROWS / max(n_rows, 1))))
+    order = np.random.default_rng(0).permutation(len(x))
+    apart = max(1, len(x) // 4) if len(x) >= 64 else 0
+    seen, held = x[order[apart:]], x[order[:apart]]
+    tree = Tree(seen, max(8, int(len(seen) * LEAF_ROWS / max(n_rows, 1))))
     if tree.n_leaves == 1:
         return tree, 1
-    filed = tree.visits(x, 1)[:, 0]
-    queries = np.linspace(0, len(x) - 1, min(SAMPLE_QUERIES, len(x))).astype(int)
-    order = tree.visits(x[queries], tree.n_leaves)
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(tree.n_leaves, dtype=order.dtype)[None], axis=1)
-    close = x[queries] @ x.T
-    close[np.arange(queries.size), queries] = -2
-    top = np.argpartition(-close, min(k, len(x) - 1) - 1, axis=1)[:, :k] if len(x) > k else np.tile(np.arange(len(x)), (queries.size, 1))
-    true = np.take_along_axis(close, top, axis=1) >= MIN_COSINE
-    needed = np.take_along_axis(rank, filed[top], axis=1)[true]
+    if not apart:
+        return tree, tree.n_leaves
+    filed = tree.visits(held, 1)[:, 0]
+    walk = tree.visits(held, tree.n_leaves)
+    rank = np.empty_like(walk)
+    np.put_along_axis(rank, walk, np.arange(tree.n_leaves, dtype=walk.dtype)[None], axis=1)
+    close = held @ held.T
+    np.fill_diagonal(close, -2)
+    top = np.argsort(-close, axis=1)[:, :k]
+    needed = np.take_along_axis(rank, filed[top], axis=1)[np.take_along_axis(close, top, axis=1) >= MIN_COSINE]
     for visits in range(1, tree.n_leaves):
         if needed.size == 0 or (needed < visits).mean() >= recall:
             return tree, visits
