@@ -95,18 +95,18 @@ _NUM = r"(?:[A-Z]\.)?\d{1,2}(?:\.\d{1,2}){0,3}"
 _NAMES = "|".join(sorted(SECTION_TITLES, key=lambda t: (-len(t), t)))
 
 
-def _classify(title: str) -> str:
+def classify_sql(title: str) -> str:
     t = f"regexp_replace(lower(regexp_replace({title}, '{WS}+', ' ', 'g')), '^ | $', '', 'g')"
     names = " ".join(f"WHEN {t} = '{k}' THEN '{v}'" for k, v in SECTION_TITLES.items())
     rules = " ".join(f"WHEN regexp_matches({t}, '{r}') THEN '{v}'" for r, v in SECTION_RULES)
     return f"CASE {names} {rules} ELSE 'methods' END"
 
 
-_HITS = _LINES + rf""",
-hits AS (SELECT paper_id, page_id, page_number, line_no, start_char, title, {_classify('title')} AS section_type FROM (
+HITS = _LINES + rf""",
+hits AS (SELECT paper_id, page_id, page_number, line_no, start_char, title, {classify_sql('title')} AS section_type FROM (
   SELECT b.*, regexp_replace(bare, '^{_NUM}\.?\s+', '') AS title FROM bare b WHERE regexp_matches(bare, '(?i)^(?:{_NUM}\.?\s+)?(?:{_NAMES})$')
     AND NOT EXISTS (SELECT 1 FROM running r WHERE r.paper_id = b.paper_id AND r.line = b.bare)))"""
-_SECTIONS = _HITS + """,
+_SECTIONS = HITS + """,
 sizes AS (SELECT paper_id, page_id, page_number, coalesce(length(text), 0) AS n_chars FROM pages),
 ends AS (SELECT paper_id, min(page_number) AS first_page, max(page_number) AS last_page, arg_max(n_chars, page_number) AS last_chars FROM sizes GROUP BY 1),
 ordered AS (SELECT h.*, lead(page_number) OVER w AS next_page, lead(start_char) OVER w AS next_char, row_number() OVER w AS pos FROM hits h WINDOW w AS (PARTITION BY paper_id ORDER BY page_number, start_char)),
@@ -148,12 +148,12 @@ SQL = {
     "chunk_pages": f"WITH RECURSIVE {_PAGES}{_CHUNKS} SELECT page_id, start_char, end_char, md5(text) AS digest FROM chunks",
     "line_offsets": f"WITH {_LINES} SELECT page_id, line_no, start_char, length(line) AS n_chars, length(first_value(nullif(bare, '') IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS next_chars FROM bare",
     "running_headers": f"WITH {_LINES} SELECT * FROM running",
-    "known_headings": f"WITH {_HITS} SELECT page_id, page_number, start_char, title, section_type FROM hits",
+    "known_headings": f"WITH {HITS} SELECT page_id, page_number, start_char, title, section_type FROM hits",
     "section_intervals": f"WITH {_SECTIONS} SELECT * FROM sections",
     "chunk_section_tag": f"WITH RECURSIVE {_SECTIONS}{_CHUNKS}{_TAGGED} SELECT page_id, page_number, start_char, end_char, section_title, section_type FROM tagged",
     "chunk_section_match": f"WITH RECURSIVE {_SECTIONS}{_CHUNKS}{_TAGGED}, m AS (SELECT t.page_id, t.start_char, s.pos AS section_pos, row_number() OVER (PARTITION BY t.page_id, t.start_char ORDER BY s.start_char DESC NULLS LAST, s.pos NULLS LAST) AS n FROM tagged t LEFT JOIN sections s ON s.paper_id = t.paper_id AND t.page_number BETWEEN s.page_start AND s.page_end AND (s.title = t.section_title OR s.section_type = t.section_type)) SELECT page_id, start_char, section_pos FROM m WHERE n = 1",
-    "chunk_gold_asof": f"WITH RECURSIVE {_HITS}{_CHUNKS}, c AS (SELECT *, page_number::BIGINT * 1000000000 + start_char AS at FROM chunks), h AS (SELECT paper_id, section_type, page_number::BIGINT * 1000000000 + start_char AS at FROM hits) SELECT c.page_id, c.start_char, coalesce(h.section_type, 'other') AS governing FROM c ASOF LEFT JOIN h ON c.paper_id = h.paper_id AND c.at >= h.at",
-    "title_types": f"SELECT section_title, count(*) AS n, {_classify('section_title')} AS section_type FROM text_chunks GROUP BY 1",
+    "chunk_gold_asof": f"WITH RECURSIVE {HITS}{_CHUNKS}, c AS (SELECT *, page_number::BIGINT * 1000000000 + start_char AS at FROM chunks), h AS (SELECT paper_id, section_type, page_number::BIGINT * 1000000000 + start_char AS at FROM hits) SELECT c.page_id, c.start_char, coalesce(h.section_type, 'other') AS governing FROM c ASOF LEFT JOIN h ON c.paper_id = h.paper_id AND c.at >= h.at",
+    "title_types": f"SELECT section_title, count(*) AS n, {classify_sql('section_title')} AS section_type FROM text_chunks GROUP BY 1",
     "body_sentences": rf"WITH s AS (SELECT DISTINCT ON (synthesis_id) synthesis_id, body FROM syntheses), l AS (SELECT synthesis_id, list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '#')) AS ls FROM s), p AS (SELECT synthesis_id, list_filter(flatten(list_transform(ls, lambda x: string_split(regexp_replace(regexp_replace(x, '^(?:[-*+]|\d+\.)\s+', ''), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)))), lambda x: regexp_matches(x, '[^\s\x0b\x1c-\x1f\x85\p{{Z}}]')) AS ss FROM l) SELECT synthesis_id, unnest(range(len(ss))) AS pos, unnest(ss) AS sentence FROM p",
     "cited_numbers": rf"WITH {_PAGES}, g AS (SELECT page_id, unnest(flatten(list_transform(regexp_extract_all(text, '{_CITE}'), lambda x: string_split(x, ',')))) AS part FROM pages), e AS (SELECT page_id, list_transform(regexp_extract_all(part, '\d+'), lambda x: try_cast(x AS INT)) AS ends FROM g), n AS (SELECT DISTINCT page_id, unnest(range(ends[1], ends[len(ends)] + 1)) AS k FROM e) SELECT p.page_id, CASE WHEN p.text IS NULL THEN '' ELSE coalesce((SELECT string_agg(k::VARCHAR, ',' ORDER BY k) FROM n WHERE n.page_id = p.page_id), '') END AS numbers FROM pages p",
     "strip_citations": rf"WITH {_PAGES} SELECT page_id, length(text) AS n_chars, length(regexp_replace(regexp_replace(text, '{_CITE}', '', 'g'), '{_UUID}', '', 'g')) AS n_left FROM pages",

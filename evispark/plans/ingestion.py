@@ -43,7 +43,9 @@ def reference_entries(spark, d):
 
 
 QUERIES = {"first_page_metadata": first_page_metadata, "stream_ingest": stream_ingest, "events_per_day": events_per_day, "snapshot_fingerprint": snapshot_fingerprint, "reference_entries": reference_entries}
+_HASH = "('0x' || substr(sha256(concat_ws(chr(31), {})), 1, 12))::BIGINT"
 SQL = {
+    "snapshot_fingerprint": f"WITH h AS (SELECT {_HASH.format('paper_id, page_number::VARCHAR, text')} AS h FROM (SELECT DISTINCT ON (page_id) * FROM paper_pages) UNION ALL SELECT {_HASH.format('chunk_id, text')} FROM (SELECT DISTINCT ON (chunk_id) * FROM text_chunks)) SELECT substr(sha256(sum(h)::VARCHAR || ':' || count(*)), 1, 16) AS fingerprint FROM h",
     "stream_ingest": "SELECT DISTINCT sha256(text) AS sha256, length(text) AS n_chars FROM documents WHERE text IS NOT NULL",
     "events_per_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
