@@ -17,8 +17,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.staging import stage
@@ -179,33 +180,42 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text_col: str = "text", v
     return _with_packed(docs, key, text_col, shared, table_bytes, finish, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens bigint")
 
 
-def piece_table(spark: SparkSession, vocabulary: bytes | None = None) -> DataFrame:
-    """(id, piece binary) of the vocabulary; its size is fixed."""
-    ranks = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, (vocabulary or read_vocabulary()).splitlines())]
-    table = pa.table({"id": pa.array([r[0] for r in ranks], pa.int32()), "piece": pa.array([r[1] for r in ranks], pa.binary())})
-    return spark.createDataFrame(table)
+def pieces(vocabulary: bytes | None = None) -> list[bytes]:
+    """The bytes of each id; ids that the vocabulary lacks have none. The table's size is fixed by the vocabulary."""
+    ranks = {int(b): base64.b64decode(a) for a, b in map(bytes.split, (vocabulary or read_vocabulary()).splitlines())}
+    return [ranks.get(i, b"") for i in range(max(ranks) + 1)]
 
 
 def decode_corpus(encoded: DataFrame, key: str = "doc_id", vocabulary: bytes | None = None) -> DataFrame:
-    """(key, text): the texts of (key, ids), by a join of ids to pieces; an empty list gives ''.
+    """(key, text): the texts of (key, ids); a null or empty list gives ''.
 
-    Ids are joined in blocks of one text, so the shuffle carries pieces, not one row per id; bytes that
-    are no UTF-8 become the replacement character.
+    The ids of a batch are joined with the table of pieces by position, where they lie: the table is small and of fixed size, so nothing is
+    shuffled. Ids outside the vocabulary give nothing; bytes that are no UTF-8 become the replacement character.
     """
-    pieces = F.broadcast(piece_table(encoded.sparkSession, vocabulary))
-    ids = encoded.select(key, F.posexplode_outer("ids").alias("pos", "id"))
-    parts = ids.join(pieces, "id", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("piece").alias("x")))).alias("parts"))
+    shared = encoded.sparkSession.sparkContext.broadcast(pieces(vocabulary))
 
-    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.array(shared.value, pa.binary())
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([bytes.fromhex(x or "").decode("utf-8", "replace") for x in batch.column(1).to_pylist()], pa.string())], names=[key, "text"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = part.column(1)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                known = (ids >= 0) & (ids < len(table)) if ids.size else np.zeros(0, dtype=bool)
+                found = table.take(pa.array(np.where(known, ids, 0).astype(np.int32)))
+                ends = np.concatenate([[0], np.cumsum(np.where(known, pc.binary_length(found).to_numpy(zero_copy_only=False), 0))]) if ids.size else np.zeros(1, dtype=np.int64)
+                joined = b"".join(x for x, ok in zip(found.to_pylist(), known, strict=True) if ok)
+                stops = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+                yield pa.record_batch([part.column(0), pa.array([joined[ends[a] : ends[b]].decode("utf-8", "replace") for a, b in zip(stops[:-1], stops[1:], strict=True)], pa.string())], names=[key, "text"])
 
-    return parts.select(key, F.array_join(F.col("parts.x"), "").alias("x")).mapInArrow(text, f"`{key}` {encoded.schema[key].dataType.simpleString()}, text string")
+    return encoded.select(key, "ids").mapInArrow(run, f"`{key}` {encoded.schema[key].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, n_tokens, same): whether decoding the ids gives the text back (null counts as empty)."""
+    """(key, n_tokens, same): whether decoding the ids gives the text back (null counts as empty). Only digests are joined."""
+    digest = lambda c: F.md5(F.encode(c, "utf-8"))
     encoded = stage(encode_corpus(docs, key, text_col), "ids")
-    decoded = decode_corpus(encoded, key).withColumnRenamed("text", "decoded")
+    decoded = decode_corpus(encoded, key).select(key, digest("text").alias("decoded"))
     sizes = encoded.select(key, F.size("ids").alias("n_tokens"))
-    return docs.select(key, text_col).join(decoded, key).join(sizes, key).select(key, "n_tokens", (F.coalesce(F.col(text_col), F.lit("")) == F.col("decoded")).alias("same"))
+    before = docs.select(key, digest(F.coalesce(F.col(text_col), F.lit(""))).alias("given"))
+    return before.join(decoded, key).join(sizes, key).select(key, "n_tokens", (F.col("given") == F.col("decoded")).alias("same"))

@@ -35,6 +35,12 @@ def test_round_trip(spark):
     assert all(r.same for r in T.round_trip(docs(spark)).collect())
 
 
+def test_decoding_of_odd_ids(spark):
+    rows = spark.createDataFrame([(1, [40, -1, 99999, 257]), (2, None), (3, []), (4, [50255, 40])], "doc_id bigint, ids array<int>")
+    p = T.pieces()
+    assert {r.doc_id: r.text for r in T.decode_corpus(rows).collect()} == {1: (p[40] + p[257]).decode(), 2: "", 3: "", 4: (p[50255] + p[40]).decode()}
+
+
 def test_other_vocabulary(spark):
     data = T.read_vocabulary("/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
