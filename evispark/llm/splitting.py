@@ -1,20 +1,15 @@
 """Splitting of oversized texts at natural boundaries, range by range.
 
-A text is seen as ranges of bytes. A range knows its own bytes, the bytes of a halo to its left that is
-as long as a whole piece, and, by a prefix sum of the ranges' lengths, the place of its first character.
-Cuts are searched per stride: the k-th cut lies in the last part of the k-th stride, at the best boundary
-there (paragraph, sentence, line, word; the last one of the best kind), else at the stride's end.
-A stride's cut depends only on the text around it, so the range that holds a stride's end finds the cut, and finds its
-left neighbour's last cut again in the halo: both ranges agree, pieces join without gaps, and no
-task walks through a whole text.
-
-With m = max_chars and o = overlap_chars: strides are S = 0.6 (m - o) long, cuts lie within W = m - o - S before
-a stride's end, a piece begins o characters before the last cut: it is at most S + W + o = m long.
+A text is seen as ranges of bytes. A range knows its own bytes, a halo of bytes to its left, and, by a prefix sum of the ranges' lengths,
+the place of its first character. Every 16 pieces' length a block ends, at the best boundary before that place; as
+this boundary depends only on the text around it, the range that holds a block's end finds it, and finds the end of the block
+before again in the halo: tables of boundaries of neighbouring ranges agree, blocks are cut apart from each other, and no task walks through a
+whole text. Within a block pieces are as long as they may be: each ends at the best boundary (paragraph, sentence, line, word; the last one of the best
+kind) in the latter half of its new text, else at the last one of the best kind in all of its new text, and only if there is none at its size.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -26,21 +21,14 @@ from pyspark.sql.window import Window
 
 from evispark.staging import broadcast_if_small
 
-RANGE_BYTES = 64 * 1024
-STRIDE_SHARE = 0.6
+RANGE_BYTES = 2**20
+BLOCK_PIECES = 16
 #: Ends of sentences: Latin ones need a blank behind them, full-width ones don't.
 _SENTENCE = re.compile(r"[.!?][\"')\]’”]*(?=\s)|[。！？][”’」』]*")
 
 
-def _stride(max_chars: int, overlap: int) -> tuple[int, int, int]:
-    """(stride, search window, overlap); an overlap of max_chars or more is brought below it."""
-    overlap = min(max(0, overlap), max_chars - 1)
-    stride = math.ceil(STRIDE_SHARE * (max_chars - overlap))
-    return stride, max_chars - overlap - stride, overlap
-
-
-def _cut(text: str, base: int, end: int, window: int) -> int:
-    """The place of the cut of a stride that ends at ``end``; ``text`` begins at place ``base``."""
+def _cut(text: str, base: int, end: int, window: int) -> int | None:
+    """The place of the best boundary among the last ``window`` places up to ``end``; ``text`` begins at place ``base``."""
     hi = end - base
     lo = max(0, hi - window)  # cuts lie in (lo, hi]
     at = text.rfind("\n\n", max(0, lo - 1), hi)
@@ -57,30 +45,44 @@ def _cut(text: str, base: int, end: int, window: int) -> int:
         at = text.rfind(mark, lo, hi)
         if at >= 0:
             return base + at + 1
-    return end
+    return None
 
 
 def pieces_of_range(text: str, base: int, first: int, stop: int, total: int, max_chars: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(piece_no, start, end) of the pieces that end in the characters (first, stop] of a text of ``total``.
+    """(piece_no, start, end) of the pieces of the blocks that end in the characters (first, stop] of a text of ``total``.
 
-    ``text`` is the part from place ``base``; it reaches back by at least twice ``max_chars`` (or to the text's begin).
+    ``text`` is the part from place ``base``; it reaches back by at least :func:`_reach` (or to the text's begin). An overlap of max_chars or more
+    is brought below it. Numbers rise along the text; they are consecutive within a block, and the first block's begin with 1.
     """
-    stride, window, overlap = _stride(max_chars, overlap)
-    cut = lambda k: _cut(text, base, k * stride, window) if k else 0
-    fits = lambda last: total - max(0, last - overlap) <= max_chars
-    k = first // stride
-    if k and fits(cut(k - 1)):  # the text ends so soon behind the cut before that this one isn't made
-        k -= 1
-    out, last = [], cut(k)
-    while (k + 1) * stride <= stop and not fits(last):
-        k += 1
-        start, last = max(0, last - overlap), cut(k)
-        out.append((k, start, last))
+    overlap = min(max(0, overlap), max_chars - 1)
+    block = BLOCK_PIECES * max_chars
+    blocks = max(0, total - max_chars) // block  # those that are full; the last one takes the rest
+    end_of = lambda m: (_cut(text, base, m * block, max_chars - overlap) or m * block) if m else 0
+    out: list[tuple[int, int, int]] = []
+
+    def fill(m: int, begin: int, end: int) -> None:
+        n = m * block
+        while True:
+            n += 1
+            start = max(0, begin - overlap)
+            if end - start <= max_chars:
+                out.append((n, start, end))
+                return
+            limit = start + max_chars
+            begin = _cut(text, base, limit, (limit - begin) // 2) or _cut(text, base, limit, limit - begin) or limit
+            out.append((n, start, begin))
+
+    for m in range(first // block + 1, min(stop // block, blocks) + 1):
+        fill(m - 1, end_of(m - 1), end_of(m))
     if stop == total > first:
-        out.append((k + 1, max(0, last - overlap), total))
+        fill(blocks, end_of(blocks), total)
     return out
 
 
+def _reach(max_chars: int) -> int:
+    return (BLOCK_PIECES + 4) * max_chars + 16
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (item, max_chars, overlap, char0, n_chars, halo, body, ahead) to rows of (item, piece_no, start, end, text)."""
     for batch in batches:
@@ -94,7 +96,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, stop = col["char0"][i], col["char0"][i] + _leads(body)
             for k, a, b in pieces_of_range(text, base, first, stop, col["n_chars"][i], col["max_chars"][i], col["overlap"][i]):
                 of.append(i), no.append(k), starts.append(a), ends.append(b), texts.append(text[a - base : b - base])
-        yield pa.record_batch([items.take(pa.array(of, pa.int32())), pa.array(no, pa.int32()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(texts, pa.string())], names=["item", "piece_no", "start", "end", "text"])
+        yield pa.record_batch([items.take(pa.array(of, pa.int32())), pa.array(no, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(texts, pa.string())], names=["item", "piece_no", "start", "end", "text"])
 
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -113,7 +115,7 @@ def text_ranges(items: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     summed up over the slices of the cell.
     """
     data = items.withColumn("bytes", F.encode("text", "utf-8")).withColumn("n_chars", F.length("text").cast("bigint"))
-    reach = "8 * (max_chars + 4)"
+    reach = f"4 * ({BLOCK_PIECES + 4} * max_chars + 16)"
     data = data.withColumn(
         "slices",
         F.expr(
@@ -133,13 +135,13 @@ def split_texts(items: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Pieces of the items whose text has more than ``max_chars`` characters.
 
     ``items`` is (item, max_chars, overlap, text), item of any type. Gives (item, piece_no, start, end, text)
-    with piece_no from 1 and half-open places in the text. Items without text or without a positive limit
+    with rising piece_no from 1 and half-open places in the text. Items without text or without a positive limit
     don't come out.
     """
     long = items.filter("max_chars > 0 and char_length(text) > max_chars").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
     kind = items.schema["item"].dataType.simpleString()
     ranges = text_ranges(long.select("item", "max_chars", "overlap", "text"), range_bytes)
-    return ranges.mapInArrow(_pieces, f"item {kind}, piece_no int, start bigint, end bigint, text string")
+    return ranges.mapInArrow(_pieces, f"item {kind}, piece_no bigint, start bigint, end bigint, text string")
 
 
 def _section(c: Column) -> Column:
@@ -205,7 +207,7 @@ def split_files(spark: SparkSession, files: list[str], max_chars: int, overlap:
     counted = ranges.mapInArrow(count, "item string, range_no int, n bigint")
     w = Window.partitionBy("item").orderBy("range_no")  # a number a range
     counted = counted.withColumn("char0", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n_chars", F.sum("n").over(Window.partitionBy("item")))
-    reach = 8 * (max_chars + 4)
+    reach = 4 * _reach(max_chars)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,4 +222,4 @@ def split_files(spark: SparkSession, files: list[str], max_chars: int, overlap:
                 )
                 yield from _pieces(iter([one]))
 
-    return counted.filter(F.col("n_chars") > max_chars).repartition("item", "range_no").mapInArrow(load, "item string, piece_no int, start bigint, end bigint, text string")
+    return counted.filter(F.col("n_chars") > max_chars).repartition("item", "range_no").mapInArrow(load, "item string, piece_no bigint, start bigint, end bigint, text string")

@@ -18,26 +18,38 @@ def text_of(rng, n, alphabet):
 def test_pieces_join_whatever_the_ranges_are():
     rng = random.Random(3)
     for _ in range(1500):
-        n = rng.randint(2, 300)
+        n = rng.randint(2, 900)
         text = text_of(rng, n, rng.choice(["ab .\n", "x", "字。 ", "a.\n\n b😀"]))
-        m, o, size = rng.randint(1, 50), rng.randint(0, 55), rng.randint(1, 80)
+        m, o, size = rng.randint(1, 50), rng.randint(0, 55), rng.randint(1, 300)
         if n <= m:
             continue
         whole = S.pieces_of_range(text, 0, 0, n, n, m, o)
         parts = []
         for first in range(0, n, size):
-            base, stop = max(0, first - 2 * m - 8), min(n, first + size)
+            base, stop = max(0, first - S._reach(m)), min(n, first + size)
             parts += S.pieces_of_range(text[base : stop + 4], base, first, stop, n, m, o)
         assert whole == parts
         o = min(o, m - 1)
-        assert whole[0][1] == 0 and whole[-1][2] == n and len(whole) > 1 and all(0 < b - a <= m for _, a, b in whole)
+        assert whole[0][:2] == (1, 0) and whole[-1][2] == n and len(whole) > 1 and [k for k, _, _ in whole] == sorted({k for k, _, _ in whole}) and all(0 < b - a <= m for _, a, b in whole)
         assert all(c == max(0, b - o) and b < d for (_, _, b), (_, c, d) in zip(whole, whole[1:], strict=False))
 
 
+def test_no_cut_within_words_where_there_is_a_boundary():
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(rng.choice(["ab ", "xyz", "q" * rng.randint(1, 90), ".\n", "字。"]) for _ in range(rng.randint(1, 120)))
+        m, o = rng.randint(20, 60), rng.randint(0, 15)
+        pieces = S.pieces_of_range(text, 0, 0, len(text), len(text), m, o) if len(text) > m else []
+        for (_, a, b), (_, _, done) in zip(pieces[1:], pieces, strict=False):
+            if b < len(text) and not (text[b - 1].isspace() or text[b - 1] in ".。") and b % (S.BLOCK_PIECES * m):
+                assert b - a == m and not any(x in text[done:b] for x in " \n。")
+
+
 def test_cuts_are_at_boundaries():
     text = "One sentence here. " * 40
     for _, _, stop in S.pieces_of_range(text, 0, 0, len(text), len(text), 100, 10)[:-1]:
         assert text[:stop].rstrip().endswith(".")
+    assert all(b - a > 50 for _, a, b in S.pieces_of_range(text, 0, 0, len(text), len(text), 100, 10)[:-1])
     text = "没有空格的句子。" * 40
     assert all(text[b - 1] == "。" for _, _, b in S.pieces_of_range(text, 0, 0, len(text), len(text), 50, 5))
 
