@@ -36,6 +36,17 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_shared(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a small file to a new folder of the shared folder and give its path."""
+    folder = f"{shared_dir(spark)}/file-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(data))
+    out.close()
+    _FOLDERS.append((spark, folder))
+    return f"{folder}/{name}"
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
