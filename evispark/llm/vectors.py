@@ -2,7 +2,7 @@
 
 The tree is fitted on a bounded sample; every vector is then filed in its leaf. A query walks the tree with a priority
 queue of branches, nearest centre first, and visits so many leaves as the calibration found enough:
-visits are widened, over a sample of queries, until the recall of their true neighbours is reached. Leaves are
+visits are widened until a sample of queries, whose true neighbours among all vectors are known by brute force, proves the recall. Leaves are
 worked on as blocks: a leaf's own vectors and the queries that visit it meet in one task as a matrix product, and
 the final similarities are taken in double precision, pair by pair.
 """
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,32 +145,80 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     return label
 
 
-def fit_tree(ids: np.ndarray, x: np.ndarray, n_rows: int, k: int = K, recall: float = RECALL) -> tuple[Tree, int]:
-    """(tree, leaves to visit) from a sample ``x`` of ``n_rows`` vectors.
+def fit_tree(x: np.ndarray, n_rows: int) -> tuple[Tree, np.ndarray]:
+    """(tree, places of the held rows) from a sample ``x``, one row a direction, of ``n_rows`` vectors.
 
-    Leaves hold about LEAF_ROWS of all vectors. A quarter of the sample has no part in the tree: visits are widened until its vectors find
-    ``recall`` of their true neighbours among themselves (those at MIN_COSINE or more) in the leaves visited.
+    Leaves hold about LEAF_ROWS of all vectors. A quarter of the sample has no part in the tree: its rows are the queries of the calibration.
     """
     order = np.random.default_rng(0).permutation(len(x))
     apart = max(1, len(x) // 4) if len(x) >= 64 else 0
-    seen, held = x[order[apart:]], x[order[:apart]]
-    tree = Tree(seen, max(8, int(len(seen) * LEAF_ROWS / max(n_rows, 1))))
-    if tree.n_leaves == 1:
-        return tree, 1
-    if not apart:
-        return tree, tree.n_leaves
-    filed = tree.visits(held, 1)[:, 0]
+    seen = x[order[apart:]]
+    return Tree(seen, max(8, int(len(seen) * LEAF_ROWS / max(n_rows, 1)))), order[:apart]
+
+
+def enough_visits(tree: Tree, held: np.ndarray, query: np.ndarray, leaf: np.ndarray, recall: float = RECALL) -> int:
+    """The least number of leaves to visit that proves ``recall``, else all. ``query`` and ``leaf`` are the true neighbours' rows of ``held`` and their leaves.
+
+    Proved is what the lower bound of the recall (one-sided, 95 %) reaches, pairs taken each for itself (Wilson) and by query; no or few pairs prove nothing.
+    """
     walk = tree.visits(held, tree.n_leaves)
     rank = np.empty_like(walk)
     np.put_along_axis(rank, walk, np.arange(tree.n_leaves, dtype=walk.dtype)[None], axis=1)
-    close = held @ held.T
-    np.fill_diagonal(close, -2)
-    top = np.argsort(-close, axis=1)[:, :k]
-    needed = np.take_along_axis(rank, filed[top], axis=1)[np.take_along_axis(close, top, axis=1) >= MIN_COSINE]
-    for visits in range(1, tree.n_leaves):
-        if needed.size == 0 or (needed < visits).mean() >= recall:
-            return tree, visits
-    return tree, tree.n_leaves
+    needed, z, n = rank[query, leaf], 1.645, len(query)
+    pairs = np.bincount(query, minlength=len(held))
+    for visits in range(1, tree.n_leaves if n else 0):
+        hits = np.bincount(query[needed < visits], minlength=len(held))
+        r = hits.sum() / n
+        wilson = (r + z * z / (2 * n) - z * np.sqrt(r * (1 - r) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        by_query = r - z * np.sqrt(((hits - r * pairs) ** 2).sum()) / n
+        if min(wilson, by_query) >= recall:
+            return visits
+    return tree.n_leaves
+
+
+_TRUE = "model string, query int, h bigint, cosine float, leaf int"
+
+
+def true_neighbours(vectors: DataFrame, held: dict[str, tuple[Tree, np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """(model, query, h, cosine, leaf): the ``k`` most similar other directions, at MIN_COSINE or more, of each held query among all ``vectors``, with their leaves.
+
+    ``held`` has the tree, the queries and the hashes of their directions for each model. A task compares its vectors with all queries and keeps k a query.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {m: (np.full((len(q), k), -2, np.float32), np.zeros((len(q), k), np.int64), np.zeros((len(q), k), np.int32)) for m, (_, q, _) in shared.value.items()}
+        for batch in batches:
+            models, hashes = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_numpy()
+            for model in set(models) & set(best):
+                tree, queries, own = shared.value[model]
+                at = np.flatnonzero(models == model)
+                at = at[np.unique(hashes[at], return_index=True)[1]]
+                for part in np.array_split(at, -(-at.size // 1024)):
+                    x, h = _matrix(batch.column(2).take(pa.array(part)).to_pylist()), hashes[part]
+                    near = queries @ x.T
+                    near[own[:, None] == h[None]] = -2
+                    top = np.argpartition(-near, k - 1, axis=1)[:, :k] if part.size > k else np.broadcast_to(np.arange(part.size), (len(near), part.size))
+                    c = np.take_along_axis(near, top, axis=1)
+                    use = np.unique(top[(c >= MIN_COSINE) & (c > best[model][0].min(axis=1)[:, None])])
+                    if not use.size:
+                        continue
+                    leaf = np.zeros(part.size, np.int32)
+                    leaf[use] = tree.visits(x[use], 1)[:, 0]
+                    c, hs, leaves = (np.hstack(y) for y in zip(best[model], (c, h[top], leaf[top]), strict=True))
+                    order = np.lexsort((-c, hs))  # a direction that came before counts once
+                    c, hs, leaves = (np.take_along_axis(y, order, axis=1) for y in (c, hs, leaves))
+                    c[:, 1:][hs[:, 1:] == hs[:, :-1]] = -2
+                    order = np.argsort(-c, axis=1, kind="stable")[:, :k]
+                    best[model] = tuple(np.take_along_axis(y, order, axis=1) for y in (c, hs, leaves))
+        for model, (c, hs, leaves) in best.items():
+            i, j = np.nonzero(c >= MIN_COSINE)
+            yield pa.record_batch([pa.array([model] * i.size, pa.string()), pa.array(i.astype(np.int32)), pa.array(hs[i, j]), pa.array(c[i, j]), pa.array(leaves[i, j])], names=["model", "query", "h", "cosine", "leaf"])
+
+    rows = vectors.select("model", "h", "vec").filter(F.col("model").isin(*held)).mapInArrow(run, _TRUE)
+    rows = rows.groupBy("model", "query", "h").agg(F.max("cosine").alias("cosine"), F.min("leaf").alias("leaf"))
+    w = Window.partitionBy("model", "query").orderBy(F.col("cosine").desc(), "h")
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
 
 
 _FILED = "model string, leaf int, vec_id bigint, own boolean, vec binary"
@@ -253,15 +302,25 @@ def nearest_vectors(recordings: DataFrame, k: int = K, recall: float = RECALL) -
     kept = vectors.join(crowd.select("model", "vec_id"), ["model", "vec_id"], "left_anti") if crowded else vectors
 
     sizes = {r["model"]: r["n"] for r in values.groupBy("model").agg(F.countDistinct("vec_id").alias("n")).collect()}  # a row a known model
-    trees = {}
+    directions = values.groupBy("model", "h").agg(F.min("vec_id").alias("vec_id")).withColumn("o", F.xxhash64("h"))  # copies have one row
+    trees, held = {}, {}
     for model, n in sizes.items():
-        own = vectors.filter(F.col("model") == model)
+        picked = directions.filter(F.col("model") == model)
         if n > SAMPLE_ROWS:
-            cut = values.filter(F.col("model") == model).select(F.xxhash64("vec_id").alias("o")).distinct().orderBy("o").limit(SAMPLE_ROWS).agg(F.max("o").alias("o")).first()["o"]
-            own = own.filter(F.xxhash64("vec_id") <= cut)
-        rows = own.select("vec_id", "vec").toArrow()  # at most SAMPLE_ROWS ids, REPEATS rows each
-        sample_ids, first = np.unique(rows["vec_id"].to_numpy(), return_index=True)
-        trees[model] = fit_tree(sample_ids, _matrix(rows["vec"].take(pa.array(first)).to_pylist()), n, k, recall)
+            cut = picked.select("o").orderBy("o").limit(SAMPLE_ROWS).agg(F.max("o").alias("o")).first()["o"]
+            picked = picked.filter(F.col("o") <= cut)
+        rows = vectors.join(F.broadcast(picked.select("model", "vec_id", "h")), ["model", "vec_id", "h"]).select("h", "vec").toArrow()  # at most SAMPLE_ROWS directions, REPEATS rows each
+        hashes, first = np.unique(rows["h"].to_numpy(), return_index=True)
+        x = _matrix(rows["vec"].take(pa.array(first)).to_pylist())
+        tree, apart = fit_tree(x, n)
+        trees[model] = (tree, tree.n_leaves)
+        if tree.n_leaves > 1 and apart.size:
+            held[model] = (tree, x[apart], hashes[apart])
+    if held:
+        rows = true_neighbours(vectors, held, k).select("model", "query", "leaf").toArrow()  # at most k a held query
+        for model, (tree, queries, _) in held.items():
+            own = rows.filter(pc.equal(rows["model"], model))
+            trees[model] = (tree, enough_visits(tree, queries, own["query"].to_numpy(), own["leaf"].to_numpy(), recall))
 
     filed = _filed(kept, trees)
     blocks = {m: max(1, -(-n // (BLOCK_ROWS * max(1, t.n_leaves // 4)))) for (m, (t, _)), n in zip(trees.items(), sizes.values(), strict=True)}

@@ -77,3 +77,36 @@ def test_many_copies_of_one_vector(spark):
     rows = [(i, "vec-small-0", b64(x[0])) for i in range(60)] + [(100 + i, "vec-small-0", b64(v)) for i, v in enumerate(x)]
     got = {(r.vec_id, r.other) for r in V.nearest_vectors(make(spark, rows)).collect()}
     assert {o for v, o in got if v == 59} == set(range(10)) and {o for v, o in got if v == 3} == set(range(11)) - {3}
+
+
+def test_no_or_few_pairs_prove_no_recall():
+    x = V._matrix([v.astype("<f2").tobytes() for v in np.random.default_rng(0).normal(size=(400, 768))])
+    tree = V.Tree(x, 50)
+    none = np.zeros(0, dtype=int)
+    assert tree.n_leaves > 4 and V.enough_visits(tree, x[:100], none, none) == tree.n_leaves
+    home = tree.visits(x[:100], 1)[:, 0]
+    assert V.enough_visits(tree, x[:100], np.arange(3), home[:3]) == tree.n_leaves
+    assert V.enough_visits(tree, x[:100], np.repeat(np.arange(100), 10), np.repeat(home, 10)) == 1
+
+
+def test_copies_dont_hide_lost_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(V, "LEAF_ROWS", 64)
+    monkeypatch.setattr(V, "SAMPLE_ROWS", 300)
+    x = clusters(500, 12, 768, 3, 0.95)
+    rows = [(i, "vec-small-0", b64(v)) for i, v in enumerate(x)] + [(1000 + i, "vec-small-0", b64(x[0])) for i in range(1000)]
+    true = {p for p in brute(rows[:500]) if 0 not in p}
+    got = found(spark, rows)
+    assert len(true & got) / len(true) >= 0.98
+
+
+def test_true_neighbours_are_of_all_vectors_and_of_other_directions(spark):
+    x = clusters(300, 10, 768, 5, 0.6)
+    rows = [(i, "vec-small-0", b64(v)) for i, v in enumerate(x)] + [(900 + i, "vec-small-0", b64(x[i % 20])) for i in range(100)]
+    vectors = V.readable_vectors(make(spark, rows)).repartition(3)
+    hashes = {r.vec_id: r.h for r in vectors.select("vec_id", "h").collect()}
+    unit = V._matrix([np.asarray(v, "<f2").tobytes() for v in x])
+    got = V.true_neighbours(vectors, {"vec-small-0": (V.Tree(unit, 40), unit[:50], np.array([hashes[i] for i in range(50)]))}, 10).collect()
+    near = unit[:50] @ unit.T
+    np.fill_diagonal(near, -2)
+    want = {(q, hashes[o]) for q in range(50) for o in np.argsort(-near[q])[:10] if near[q, o] >= 0.5}
+    assert {(r["query"], r.h) for r in got} == want and len(got) == len(want) > 300
