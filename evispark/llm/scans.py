@@ -143,25 +143,77 @@ def page_numbers(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     return outer.select("page_id", "x.line_no", "x.beside")
 
 
+#: In papers of at most so many pages keys are compared pair by pair, in longer ones through an index of blocks; the results are the same.
+PAIRED_PAGES = 30
+
+
+def _edits(n: Column) -> Column:
+    """The letters that may differ from a running line of ``n`` letters."""
+    return F.greatest(F.lit(1), F.floor(0.15 * n)).cast("int")
+
+
+def _blocks(n: int) -> tuple[int, int]:
+    """(number, length) of the blocks that a key of ``n`` letters is cut into: one more than letters may differ, so one block at least stays whole."""
+    d = max(1, int(0.15 * n))
+    return d + 1, n // (d + 1)
+
+
+def near_keys(keys: DataFrame) -> DataFrame:
+    """(paper_id, kid, tid): candidates, of ``keys`` (paper_id, kid, key, n), for keys that stand on one page (n = 1) and are near another key t.
+
+    None that is near is missed: with at most d edits one of the d + 1 blocks of t, the one with number i, stands whole in the key, moved by at most i letters.
+    """
+
+    def cut(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, key in enumerate(batch.column(2).to_pylist()):
+                    n = len(key)
+                    if whole:
+                        count, size = _blocks(n)
+                        rows = [(key[j * size : (j + 1) * size], j * size, j) for j in range(count)]
+                    else:
+                        sizes = {_blocks(m)[1] for m in range(max(3, int(n / 1.15) - 2), int(n / 0.85) + 3)}
+                        rows = [(key[at : at + size], at, 0) for size in sizes for at in range(n - size + 1)]
+                    of = pa.array([i] * len(rows), pa.int32())
+                    block, at, number = zip(*rows, strict=True)
+                    yield pa.record_batch([batch.column(0).take(of), batch.column(1).take(of), pa.array([n] * len(rows), pa.int32()), pa.array(block, pa.string()), pa.array(at, pa.int32()), pa.array(number, pa.int32())], names=names)
+
+        return run
+
+    names = ["paper_id", "kid", "size", "block", "at", "number"]
+    kinds = "paper_id string, kid bigint, size int, block string, at int, number int"
+    index = keys.select("paper_id", "kid", "key").mapInArrow(cut(True), kinds).select("paper_id", F.col("kid").alias("tid"), F.col("size").alias("t_size"), "block", F.col("at").alias("t_at"), "number")
+    asking = keys.filter("n = 1").select("paper_id", "kid", "key").mapInArrow(cut(False), kinds).drop("number")
+    fits = (F.abs(F.col("at") - F.col("t_at")) <= F.col("number")) & (F.abs(F.col("size") - F.col("t_size")) <= _edits(F.col("t_size"))) & (F.col("kid") != F.col("tid"))
+    return asking.join(index, ["paper_id", "block"]).filter(fits).select("paper_id", "kid", "tid").distinct()
+
+
 def running_lines(edges: DataFrame, numbers: DataFrame, sizes: DataFrame, papers: DataFrame) -> DataFrame:
     """(page_id, line_no) of the running headers: first or last lines, a page number aside."""
     alone = numbers.filter("not beside").select("page_id", "line_no", F.lit(True).alias("is_number"))
     rows = edges.join(alone, ["page_id", "line_no"], "left").withColumn("is_number", F.coalesce("is_number", F.lit(False)))
     opened = rows.filter("is_number and slot = 1").select("page_id", "side", F.lit(2).alias("first"))
     rows = rows.join(opened, ["page_id", "side"], "left").filter("not is_number").filter(F.col("slot") <= F.coalesce("first", F.lit(1)))
-    rows = rows.withColumn("key", key_of(F.col("line"))).filter(F.length("key").between(3, 150) & ~F.col("key").isin(*_HEADING_KEYS)).select("paper_id", "page_id", "page_number", "line_no", "key", "volume", "line").dropDuplicates(["page_id", "line_no"])
+    rows = rows.withColumn("key", key_of(F.col("line"))).filter((F.length("key") >= 3) & ~F.col("key").isin(*_HEADING_KEYS)).select("paper_id", "page_id", "page_number", "line_no", "key", "volume", "line").dropDuplicates(["page_id", "line_no"])
     rows = stage(rows, "edges")
-    # a page that prose ends or begins: its line is long and comes once; what comes again is a template
-    again = rows.groupBy("paper_id", "key").agg(F.countDistinct("page_number").alias("n"), F.min("page_number").alias("only")).join(sizes, "paper_id")
-    again = again.filter((F.col("n_pages") <= 30) | (F.col("n") >= F.greatest(F.lit(2), 0.05 * F.col("n_pages")))).select("paper_id", F.col("key").alias("t"), F.when(F.col("n") == 1, F.col("only")).alias("only"))
+    # a page that prose ends or begins: its line is long and comes once; what comes again, a few letters aside, is a template
+    keys = rows.groupBy("paper_id", "key").agg(F.countDistinct("page_number").alias("n"), F.min("page_number").alias("page")).join(sizes, "paper_id").withColumn("kid", F.xxhash64("key"))
+    keys = stage(keys, "keys")
+    other = keys.select("paper_id", F.col("kid").alias("tid"), F.col("key").alias("t"), F.when(F.col("n") == 1, F.col("page")).alias("only"), "n_pages")
+    once = keys.filter("n = 1").select("paper_id", "kid", "key", "page")
+    short, long = F.col("n_pages") <= PAIRED_PAGES, keys.filter(F.col("n_pages") > PAIRED_PAGES)
+    pairs = once.join(other.filter(short), "paper_id").select("paper_id", "key", "page", "t", "only")
+    pairs = pairs.unionByName(near_keys(long).join(once, ["paper_id", "kid"]).join(other.filter(~short), ["paper_id", "tid"]).select(*pairs.columns))
     title, last = F.col("title"), F.transform(F.filter("authors", lambda a: F.length(F.trim(a)) > 0), lambda a: F.element_at(F.split(F.trim(a), r"\s+"), -1))
     lasts = F.coalesce(last, F.array().cast("array<string>"))
     known = papers.select("paper_id", F.explode(F.array(title, F.element_at(F.split(title, ":"), 1), F.try_element_at(lasts, F.lit(1)), F.concat(F.try_element_at(lasts, F.lit(1)), F.lit("etal")), F.concat(F.try_element_at(lasts, F.lit(1)), F.lit("and"), F.try_element_at(lasts, F.lit(2))), F.array_join(lasts, ""))).alias("t"))
     known = known.select("paper_id", key_of(F.col("t")).alias("t"), F.lit(None).cast("int").alias("only")).filter(F.length("t") >= 3)
-    near = F.levenshtein(F.col("key"), F.col("t")) <= F.greatest(F.lit(1), F.floor(0.15 * F.length("t")))
-    lengths = F.abs(F.length("key") - F.length("t")) <= F.greatest(F.lit(1), F.floor(0.15 * F.length("t")))
-    hit = rows.join(again.unionByName(known).distinct(), "paper_id").filter((F.col("only").isNull() | (F.col("only") != F.col("page_number"))) & lengths & near)
-    return hit.select("page_id", "line_no").unionByName(rows.filter("volume").select("page_id", "line_no")).distinct()
+    edits = _edits(F.length("t"))
+    near = (F.abs(F.length("key") - F.length("t")) <= edits) & (F.expr("levenshtein(key, t, cast(greatest(1, floor(0.15D * length(t))) as int))") >= 0)
+    hit = pairs.unionByName(keys.select("paper_id", "key", "page").join(known.distinct(), "paper_id")).filter((F.col("only").isNull() | (F.col("only") != F.col("page"))) & near)
+    hit = hit.select("paper_id", "key").unionByName(keys.filter("n > 1").select("paper_id", "key")).distinct()
+    return rows.join(hit, ["paper_id", "key"], "left_semi").select("page_id", "line_no").unionByName(rows.filter("volume").select("page_id", "line_no")).distinct()
 
 
 _OUTER = "()[]{},.;:\"'!?“”‘’*"

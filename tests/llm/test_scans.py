@@ -101,3 +101,21 @@ def test_other_lines(line):
 def test_anagram_differences():
     assert (S.anagram("mernbrane") - S.anagram("rn") + S.anagram("m")) % S._RING == S.anagram("membrane")
     assert S._variants("mernbrane", "m", "rn") == {"membrane"} and S._variants("aa", "b", "a") == {"ba", "ab"}
+
+
+def volume(n):
+    """A volume of ``n`` pages whose running line changes every two pages, the second one misread; one of more than 150 letters; prose at the other edge."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwy") for _ in range(rng.randint(4, 9)))
+    title = [" ".join(word() for _ in range(30 if i == 3 else 1 if i == 4 else 5)) for i in range(n // 2)]
+    misread = [t[:1] + ("x" if t[1] != "x" else "y") + t[2:] for t in title]
+    return [(f"v{k}", "v", k, "\n".join([(misread if k % 2 else title)[k // 2], *(" ".join(word() for _ in range(9)) + "." for _ in range(4))])) for k in range(n)]
+
+
+@pytest.mark.parametrize("paired", [S.PAIRED_PAGES, 0, 1000])
+def test_running_lines_that_change_within_a_long_volume(spark, monkeypatch, paired):
+    monkeypatch.setattr(S, "PAIRED_PAGES", paired)
+    got = cases(make(spark, volume(64)))
+    assert {x for x in got if x[2] == "running_header"} == {(f"v{k}", 0, "running_header") for k in range(64)}
