@@ -18,9 +18,11 @@ _FOLDERS: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set and all tasks run on this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (spark.conf.get("spark.master", "") or "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="evispark-")
         spark.conf.set("spark.checkpoint.dir", folder)
         _FOLDERS.append((spark, folder))
@@ -69,7 +71,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is (a shuffled join)."""
-    return F.broadcast(df) if len(df.limit(max_rows + 1).take(max_rows + 1)) <= max_rows else df
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
