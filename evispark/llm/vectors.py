@@ -2,9 +2,11 @@
 
 The tree is fitted on a bounded sample; every vector is then filed in its leaf. A query walks the tree with a priority
 queue of branches, nearest centre first, and visits so many leaves as the calibration found enough:
-visits are widened until a sample of queries, whose true neighbours among all vectors are known by brute force, proves the recall. Leaves are
-worked on as blocks: a leaf's own vectors and the queries that visit it meet in one task as a matrix product, and
-the final similarities are taken in double precision, pair by pair.
+visits are widened until a sample of queries, whose true neighbours among all vectors are known by brute force, proves the recall.
+
+Only short codes (sides of random planes) travel to all leaves that are visited. What they say of the distances, give or take an estimate's margin, tells
+which leaves can hold a neighbour; the vector itself goes to these alone, and meets a leaf's own vectors there as a matrix product.
+The final similarities are taken in double precision, pair by pair.
 """
 
 from __future__ import annotations
@@ -21,17 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evispark.staging import stage
+from evispark.staging import broadcast_if_small, stage
 
 #: Numbers in a vector of each model: fixed values.
 DIMENSIONS = {"vec-base-1": 1536, "vec-small-0": 768}
 K, MIN_COSINE = 10, 0.5
 #: Bounds of what the driver sees of a model: rows the tree is fitted on and calibrated with.
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS = 8192
+#: Queries of the calibration.
+HELD_ROWS = 1024
 LEAF_ROWS, BRANCHES = 1536, 8
 RECALL = 0.995
-#: A leaf's vectors are worked on in blocks of this many.
-BLOCK_ROWS = 4096
+#: A leaf's vectors are worked on in blocks of this many, its codes in so many blocks at once.
+BLOCK_ROWS, CODE_BLOCKS = 8192, 8
+#: Bits of a vector's code.
+CODE_BITS = 1536
+_PLANES: dict[int, np.ndarray] = {}
 #: An id on more rows than this is brought to one row before anything else.
 REPEATS = 8
 
@@ -65,8 +72,8 @@ def _matrix(raw: list[bytes]) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def readable_vectors(recordings: DataFrame) -> DataFrame:
-    """(model, vec_id, vec, h): the readable values of known models; h is a hash of the direction. Rows may repeat."""
+def readable_vectors(recordings: DataFrame, dimensions: dict[str, int] = DIMENSIONS) -> DataFrame:
+    """(model, vec_id, vec, h): the readable values of the models in ``dimensions``; h is a hash of the direction. Rows may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -74,13 +81,13 @@ def readable_vectors(recordings: DataFrame) -> DataFrame:
         for batch in batches:
             keep, vec, h = [], [], []
             for i, (model, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                raw = decode_vector(value, DIMENSIONS[model])
+                raw = decode_vector(value, dimensions[model])
                 if raw is not None:
                     keep.append(i), vec.append(raw), h.append(xxhash.xxh64_intdigest(_direction(raw)))
             at = pa.array(keep, pa.int32())
             yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(vec, pa.binary()), pa.array(np.array(h, dtype=np.uint64).view(np.int64))], names=["model", "vec_id", "vec", "h"])
 
-    rows = recordings.select("model", F.col("vec_id").cast("bigint").alias("vec_id"), "embedding_f16_b64").filter(F.col("model").isin(*DIMENSIONS) & F.col("vec_id").isNotNull())
+    rows = recordings.select("model", F.col("vec_id").cast("bigint").alias("vec_id"), "embedding_f16_b64").filter(F.col("model").isin(*dimensions) & F.col("vec_id").isNotNull())
     return rows.mapInArrow(run, "model string, vec_id bigint, vec binary, h bigint")
 
 
@@ -148,12 +155,13 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
 def fit_tree(x: np.ndarray, n_rows: int) -> tuple[Tree, np.ndarray]:
     """(tree, places of the held rows) from a sample ``x``, one row a direction, of ``n_rows`` vectors.
 
-    Leaves hold about LEAF_ROWS of all vectors. A quarter of the sample has no part in the tree: its rows are the queries of the calibration.
+    Leaves hold about LEAF_ROWS of all vectors, and three of the sample at least. A quarter of the sample, HELD_ROWS at most, has no part in the
+    tree: its rows are the queries of the calibration.
     """
     order = np.random.default_rng(0).permutation(len(x))
-    apart = max(1, len(x) // 4) if len(x) >= 64 else 0
+    apart = min(HELD_ROWS, max(1, len(x) // 4)) if len(x) >= 64 else 0
     seen = x[order[apart:]]
-    return Tree(seen, max(8, int(len(seen) * LEAF_ROWS / max(n_rows, 1)))), order[:apart]
+    return Tree(seen, max(3, int(len(seen) * LEAF_ROWS / max(n_rows, 1)))), order[:apart]
 
 
 def enough_visits(tree: Tree, held: np.ndarray, query: np.ndarray, leaf: np.ndarray, recall: float = RECALL) -> int:
@@ -221,11 +229,23 @@ def true_neighbours(vectors: DataFrame, held: dict[str, tuple[Tree, np.ndarray,
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
 
 
-_FILED = "model string, leaf int, vec_id bigint, own boolean, vec binary"
+def _planes(size: int) -> np.ndarray:
+    """Random planes through the origin, the same in every process; column by column the bits of a code."""
+    if size not in _PLANES:
+        _PLANES[size] = np.random.default_rng(size).standard_normal((size, CODE_BITS), dtype=np.float32)
+    return _PLANES[size]
+
+
+def codes(x: np.ndarray) -> np.ndarray:
+    """The sides of :data:`CODE_BITS` random planes on which each row of ``x`` lies, as bytes: the share of unlike bits estimates the angle."""
+    return np.packbits(x @ _planes(x.shape[1]) >= 0, axis=1)
+
 
+_CODED = "model string, vec_id bigint, h bigint, code binary, leaves array<int>"
 
-def _filed(vectors: DataFrame, trees: dict[str, tuple[Tree, int]]) -> DataFrame:
-    """Every vector in its leaf (own) and, as a query, in the other leaves it visits."""
+
+def _coded(vectors: DataFrame, trees: dict[str, tuple[Tree, int]]) -> DataFrame:
+    """Every vector's code and the leaves it visits, its own first; an id with several values goes on with that of the least hash."""
     shared = vectors.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +255,82 @@ def _filed(vectors: DataFrame, trees: dict[str, tuple[Tree, int]]) -> DataFrame:
                 tree, most = shared.value[model]
                 for at in np.array_split(np.flatnonzero(models == model), -(-int((models == model).sum()) // 512)):
                     part = batch.take(pa.array(at))
-                    leaves = tree.visits(_matrix(part.column(2).to_pylist()), most)
-                    row, turn = np.nonzero(leaves >= 0)
-                    take = pa.array(row)
-                    yield pa.record_batch([part.column(0).take(take), pa.array(leaves[row, turn]), part.column(1).take(take), pa.array(turn == 0), part.column(2).take(take)], names=["model", "leaf", "vec_id", "own", "vec"])
-
-    return vectors.select("model", "vec_id", "vec").mapInArrow(run, _FILED)
+                    x = _matrix(part.column(3).to_pylist())
+                    leaves = [row[row >= 0] for row in tree.visits(x, most)]
+                    yield pa.record_batch([*(part.column(c) for c in range(3)), pa.array([c.tobytes() for c in codes(x)], pa.binary()), pa.array(leaves, pa.list_(pa.int32()))], names=["model", "vec_id", "h", "code", "leaves"])
+
+    rows = vectors.select("model", "vec_id", "h", "vec").mapInArrow(run, _CODED)
+    return rows.groupBy("model", "vec_id").agg(F.min(F.struct("h", "code", "leaves")).alias("x")).select("model", "vec_id", "x.*")
+
+
+def _unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers of unlike bits between the rows of two arrays of 64-bit words."""
+    out = np.zeros((len(a), len(b)), dtype=np.uint16)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    return out
+
+
+def _words(packed: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(packed.to_pylist()), dtype=np.uint64).reshape(len(packed), -1)
+
+
+_WANTED = "model string, vec_id bigint, leaf int, sub int, near array<int>"
+#: Half the width of an estimate of the angle, in bits: so many standard deviations.
+DEVIATIONS = 4
+_MARGIN = int(DEVIATIONS * np.sqrt(CODE_BITS / 4))
+_FARTHEST = int(CODE_BITS * np.arccos(MIN_COSINE) / np.pi) + _MARGIN
+
+
+def _wanted(rows: pa.Table, k: int) -> pa.Table:
+    """Of a part of a leaf: for each asking code and each block (sub) of the leaf the ``k`` least distances, where any is near enough to MIN_COSINE."""
+    own, asking = rows.filter(rows["base"]), rows.filter(pc.invert(rows["base"]))
+    ids, subs, base = own["vec_id"].to_numpy(), own["sub"].to_numpy(), _words(own["code"])
+    q_ids, q = asking["vec_id"].to_numpy(), _words(asking["code"])
+    who, of, near = [], [], []
+    for sub in np.unique(subs):
+        mine = subs == sub
+        for at in range(0, len(q), 256):
+            d = _unlike(q[at : at + 256], base[mine])
+            d[q_ids[at : at + 256, None] == ids[mine][None]] = 2 * CODE_BITS
+            d = np.sort(np.partition(d, k - 1, axis=1)[:, :k] if d.shape[1] > k else d, axis=1)
+            hit = np.flatnonzero(d[:, 0] <= _FARTHEST)
+            who.append(q_ids[at + hit]), of.append(np.full(hit.size, sub)), near.extend(d[hit].tolist())
+    who, of = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (who, of))
+    first = {c: rows[c][0].as_py() for c in ("model", "leaf")}
+    return pa.table([pa.array([first["model"]] * who.size, pa.string()), pa.array(who, pa.int64()), pa.array(np.full(who.size, first["leaf"], dtype=np.int32)), pa.array(of.astype(np.int32)), pa.array(near, pa.list_(pa.int32()))], names=["model", "vec_id", "leaf", "sub", "near"])
+
+
+def _routes(coded: DataFrame, k: int) -> DataFrame:
+    """(model, vec_id, h, leaf, sub, part, base, asks): where each vector must go.
+
+    Only codes go to all leaves that a vector visits. A leaf, or a block of a crowded one, gets the vector itself if its nearest code may, within the
+    estimate's margin, be among the vector's k nearest; so what is dropped can't be a neighbour. ``sub`` counts the blocks of a leaf by its own number
+    of rows, ``part`` those of the askers by theirs: each pair of parts is a task of bounded size.
+    """
+    visits = coded.select("model", "vec_id", "code", F.posexplode("leaves").alias("turn", "leaf"))
+    sizes = visits.groupBy("model", "leaf").agg(F.sum((F.col("turn") == 0).cast("bigint")).alias("own"), F.count("*").alias("asked"))
+    up = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
+    sizes = sizes.select("model", "leaf", up(F.col("own"), BLOCK_ROWS).alias("subs"), up(F.col("own"), BLOCK_ROWS * CODE_BLOCKS).alias("blocks"), up(F.col("asked"), BLOCK_ROWS * CODE_BLOCKS).alias("parts")).filter("subs > 0")
+    sizes = stage(sizes, "leaves")  # a row a leaf
+    number = F.xxhash64("vec_id")
+    rows = visits.join(F.broadcast(sizes), ["model", "leaf"]).withColumn("sub", F.pmod(number, F.col("subs")).cast("int")).withColumn("mine", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("parts")).cast("int"))
+    to = lambda block, part, base: F.struct(block.cast("int").alias("block"), part.cast("int").alias("part"), F.lit(base).alias("base"))
+    asks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: to(b, F.col("mine"), False))
+    base = F.when(F.col("turn") == 0, F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: to(F.pmod("sub", "blocks"), p, True)))
+    rows = rows.select("model", "leaf", "vec_id", "sub", "code", F.explode(F.concat(asks, F.coalesce(base, F.array().cast("array<struct<block:int,part:int,base:boolean>>")))).alias("to")).select("model", "leaf", "vec_id", "sub", "code", "to.*")
+    wanted = stage(rows.groupBy("model", "leaf", "block", "part").applyInArrow(lambda rows: _wanted(rows, k), _WANTED), "wanted")
+    kth = wanted.groupBy("model", "vec_id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("d")).select("model", "vec_id", F.coalesce(F.try_element_at("d", F.lit(k)), F.lit(2 * CODE_BITS)).alias("kth"))
+    asked = wanted.join(kth, ["model", "vec_id"]).filter(F.col("near")[0] <= F.col("kth") + _MARGIN).select("model", "vec_id", "leaf", "sub")
+    asked = stage(asked, "asked")
+    parts = asked.groupBy("model", "leaf", "sub").agg(up(F.count("*"), BLOCK_ROWS).alias("parts"))
+    own = coded.select("model", "vec_id", F.col("leaves")[0].alias("leaf")).join(F.broadcast(sizes.select("model", "leaf", "subs")), ["model", "leaf"]).select("model", "vec_id", "leaf", F.pmod(number, F.col("subs")).cast("int").alias("sub"))
+    flags = own.withColumn("base", F.lit(True)).withColumn("asks", F.lit(False)).unionByName(asked.withColumn("base", F.lit(False)).withColumn("asks", F.lit(True)))
+    flags = flags.groupBy("model", "vec_id", "leaf", "sub").agg(F.max("base").alias("base"), F.max("asks").alias("asks"))
+    rows = flags.join(broadcast_if_small(parts, 100_000), ["model", "leaf", "sub"]).withColumn("mine", F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.col("parts")).cast("int"))
+    every = F.when(F.col("base"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("mine"))
+    rows = rows.withColumn("part", F.explode(every)).withColumn("asks", F.col("asks") & (F.col("part") == F.col("mine")))
+    return rows.join(coded.select("model", "vec_id", "h"), ["model", "vec_id"]).select("model", "vec_id", "h", "leaf", "sub", "part", "base", "asks")
 
 
 _NEAR = "model string, vec_id bigint, other bigint, cosine double"
@@ -278,15 +368,16 @@ def _leaf_neighbours(own: pa.Table, asking: pa.Table, k: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array([model.as_py() if model is not None else None] * int(best.sum()), pa.string()), pa.array(q[best]), pa.array(o[best]), pa.array(c[best])], names=["model", "vec_id", "other", "cosine"])
 
 
-def nearest_vectors(recordings: DataFrame, k: int = K, recall: float = RECALL) -> DataFrame:
+def nearest_vectors(recordings: DataFrame, k: int = K, recall: float = RECALL, dimensions: dict[str, int] = DIMENSIONS) -> DataFrame:
     """(model, vec_id, other, cosine, rank): for each readable vector its ``k`` most similar ones of its model at MIN_COSINE or more.
 
     Equal similarities go by the smaller id; an id that stands on several rows counts once. Of more than k + 1
     ids with one and the same direction only the k + 1 least can be among anybody's neighbours: the others are neither filed
     nor sent, and their own neighbours are the least ids of their value. Leaves that hold more than BLOCK_ROWS are cut into
-    blocks, each in its own task. Unreadable values and unknown models have no rows.
+    blocks by their own number of rows, each in its own task (:func:`_routes`). Unreadable values and models that aren't in
+    ``dimensions`` have no rows.
     """
-    vectors = readable_vectors(recordings)
+    vectors = readable_vectors(recordings, dimensions)
     # copies: only ids and hashes are shuffled; WindowGroupLimit keeps k + 2 rows of a value before the shuffle
     values = stage(vectors.groupBy("model", "vec_id", "h").agg(F.count("*").alias("rows")), "values")
     often = values.filter(F.col("rows") > REPEATS).select("model", "vec_id").distinct()
@@ -322,19 +413,14 @@ def nearest_vectors(recordings: DataFrame, k: int = K, recall: float = RECALL) -
             own = rows.filter(pc.equal(rows["model"], model))
             trees[model] = (tree, enough_visits(tree, queries, own["query"].to_numpy(), own["leaf"].to_numpy(), recall))
 
-    filed = _filed(kept, trees)
-    blocks = {m: max(1, -(-n // (BLOCK_ROWS * max(1, t.n_leaves // 4)))) for (m, (t, _)), n in zip(trees.items(), sizes.values(), strict=True)}
-    # a leaf is a square of tiles: a vector lies in one block of its leaf, asks from one part, and each part meets each block
-    n_blocks = F.coalesce(F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv])[F.col("model")], F.lit(1)) if blocks else F.lit(1)
-    mine = F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int")
-    each = F.sequence(F.lit(0), n_blocks - 1)
-    filed = filed.withColumn("mine", mine).withColumn("block", F.explode(each)).withColumn("part", F.explode(each))
-    filed = filed.withColumn("base", F.col("own") & (F.col("block") == F.col("mine"))).withColumn("asks", F.col("part") == F.col("mine")).filter("base or asks")
+    routes = _routes(stage(_coded(kept, trees), "codes"), k)
+    routes = stage(routes.groupBy("model", "vec_id", "h").agg(F.collect_list(F.struct("leaf", "sub", "part", "base", "asks")).alias("to")), "routes")  # at most a place a leaf visited, a few for a base
+    filed = kept.join(broadcast_if_small(routes, 1_000_000), ["model", "vec_id", "h"]).withColumn("to", F.explode("to")).select("model", "vec_id", "vec", "to.*")
 
     def meet(rows: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_leaf_neighbours(rows.filter(rows["base"]), rows.filter(rows["asks"]), k)])
 
-    near = filed.select("model", "leaf", "block", "part", "vec_id", "vec", "base", "asks").groupBy("model", "leaf", "block", "part").applyInArrow(meet, _NEAR)
+    near = filed.select("model", "leaf", "sub", "part", "vec_id", "vec", "base", "asks").groupBy("model", "leaf", "sub", "part").applyInArrow(meet, _NEAR)
     if crowded:  # the least ids of one's own value are nearer than all else
         copies = least.select("model", "h", F.col("vec_id").alias("other"), "r").filter(F.col("r") <= k)
         near = near.unionByName(crowd.join(copies, ["model", "h"]).select("model", "vec_id", "other", F.lit(1.0).alias("cosine")))
