@@ -6,11 +6,14 @@ and a similarity of 0.7 or more leaves at most 3/17 of the two sizes as differen
 space, and the ball is exact: nothing alike lies outside.
 
 Shards come from the words themselves: in a common order (rare words first) alike sets share two words early
-on; a set goes to the shards of the pairs of common words, and of the single rare words, there. Within a shard
-a vantage-point tree divides the fingerprints by their distance to a vantage point; the triangle inequality drops
-what lies farther than the ball reaches, and a set whose ball crosses the boundary is compared on both
-sides. The first vantage point is the empty set, whose distance to a set is the set's size. Shards above a size are cut into tiles
-for more tasks. Every candidate is then confirmed on the words.
+on; a set goes to the shards of the pairs of common words, and of the single rare words, there. A shard is ordered by the distance
+to the empty set, which is the set's size, and compared within the bounds that this gives; one of more than
+LEAF rows is searched by a vantage-point tree: a node divides its fingerprints by their distance to a vantage point, at the distance
+that leaves the least work; the triangle inequality drops what lies farther than the ball reaches, and only sets whose ball crosses the boundary
+are compared on both sides. Every candidate is then confirmed on the words.
+
+Shards that could be too large are known before anything is moved: only pairs of words that are both in more than TILE sets can have them, so these pairs
+alone are counted; a shard above TILE rows goes out as tiles, pairs of its blocks, and no task ever sees it whole.
 
 One tree over all fingerprints prunes nothing here: distances between unlike texts concentrate around one value, and
 the ball is wider than their spread. That is why shards come first.
@@ -18,13 +21,15 @@ the ball is wider than their spread. That is why shards come first.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.staging import shuffle_partitions, stage
@@ -37,6 +42,10 @@ COMMON_SHARE = 0.001
 MAX_COMMON = 200_000
 #: Shards with more rows than this are cut into tiles.
 TILE = 20_000
+#: Shards and nodes of up to so many rows are compared in order of size, others by a tree.
+LEAF = 2048
+#: The copies of one word set meet in blocks of this many.
+COPIES = 2048
 #: A part, the shards of one task, has the keys of about as many sets.
 SETS_PER_PART = 40_000
 _WORD = re.compile("[a-z0-9]+")
@@ -74,8 +83,8 @@ def word_sets(records: DataFrame) -> DataFrame:
     return records.select("field_name", "id", "text").filter("id is not null").mapInArrow(run, "field_name string, id string, s bigint, n int, words string")
 
 
-def _common_words(sets: DataFrame) -> dict[str, int]:
-    """word -> number of sets, for the words in more than COMMON_SHARE of all sets: a bounded number of words."""
+def _common_words(sets: DataFrame, tile: int = TILE) -> dict[str, int]:
+    """word -> number of sets, for the words in more than COMMON_SHARE of all sets, or in more than ``tile``: a bounded number of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -92,7 +101,7 @@ def _common_words(sets: DataFrame) -> dict[str, int]:
                 yield out()
         yield out()
 
-    least = int(sets.count() * COMMON_SHARE)  # of very many, the most frequent MAX_COMMON: the rest count as rare, which only makes their shards larger
+    least = min(int(sets.count() * COMMON_SHARE), tile)  # of very many, the most frequent MAX_COMMON: the rest count as rare, which only makes their shards larger
     rows = sets.select("words").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > least).orderBy(F.col("n").desc(), "word").limit(MAX_COMMON).collect()
     return {r["word"]: r["n"] for r in rows}
 
@@ -117,9 +126,9 @@ class _Words(dict):
         return self[word]
 
 
-def _packed(parts: int, sid: np.ndarray, n: np.ndarray, fp: np.ndarray, key: np.ndarray, lead: np.ndarray, who: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row (part, data) per part of the keys. A part's data lists each set once, with the keys it has there."""
-    part = (key % np.uint64(parts)).astype(np.int64)
+def _packed(parts: np.ndarray, sid: np.ndarray, n: np.ndarray, fp: np.ndarray, key: np.ndarray, lead: np.ndarray, who: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row (part, data) per part of the keys, named by ``parts``. A part's data lists each set once, with the keys it has there."""
+    part = (key % np.uint64(parts.size)).astype(np.int64)
     order = np.lexsort((who, part))
     key, lead, who, part = key[order], lead[order], who[order], part[order]
     begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -128,7 +137,7 @@ def _packed(parts: int, sid: np.ndarray, n: np.ndarray, fp: np.ndarray, key: np.
         sets, count = np.unique(who[a:b], return_counts=True)
         short = ((key[a:b] >> np.uint64(25)) << np.uint64(1)) | lead[a:b].astype(np.uint64)
         head = np.array([sets.size, b - a], dtype="<i8").tobytes()
-        names.append(int(part[a]))
+        names.append(int(parts[part[a]]))
         data.append(head + sid[sets].astype("<i8").tobytes() + fp[sets].astype("<u8").tobytes() + n[sets].astype("<i4").tobytes() + count.astype("<i4").tobytes() + short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
     yield pa.record_batch([pa.array(names, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
 
@@ -147,11 +156,12 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     return short >> np.uint64(1), np.repeat(sid, count), np.repeat(n.astype(np.int64), count), (short & np.uint64(1)).astype(bool), np.repeat(fp, count)
 
 
-def _shard_rows(batches: Iterator[pa.RecordBatch], common: dict[str, int], parts: int) -> Iterator[pa.RecordBatch]:
-    """Keys of the shards of (field_name, sid, n, words), packed by part; lead: the set may be the smaller partner there."""
+def _shard_rows(batches: Iterator[pa.RecordBatch], common: dict[str, int], hot: dict[int, int], parts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Keys of the shards of (field_name, sid, n, words), packed by part; lead: the set may be the smaller partner there. ``hot``: blocks of large shards."""
     held: list[tuple[np.ndarray, ...]] = []
+    keys, blocks = np.array(sorted(hot), dtype=np.uint64), np.array([hot[k] for k in sorted(hot)], dtype=np.int64)
     for found in _shard_keys(batches, common):
-        held.append(found)
+        held.append(_tiled(*found, keys, blocks))
         if sum(x[3].size for x in held) >= 2_000_000:
             yield from _joined(held, parts)
             held = []
@@ -159,14 +169,35 @@ def _shard_rows(batches: Iterator[pa.RecordBatch], common: dict[str, int], parts
         yield from _joined(held, parts)
 
 
-def _joined(held: list[tuple[np.ndarray, ...]], parts: int) -> Iterator[pa.RecordBatch]:
+def _tiled(sid, n, fp, key, lead, who, hot, blocks) -> tuple[np.ndarray, ...]:
+    """The keys with those of hot shards as tiles: a row of block x goes to the tiles of x with each other block."""
+    if not hot.size:
+        return sid, n, fp, key, lead, who
+    at = np.minimum(np.searchsorted(hot, key), hot.size - 1)
+    is_hot = hot[at] == key
+    if not is_hot.any():
+        return sid, n, fp, key, lead, who
+    b = blocks[at[is_hot]]
+    own = (_mixed(sid[who[is_hot]].view(np.uint64)) % b.astype(np.uint64)).astype(np.int64)
+    row = np.repeat(np.arange(b.size), b - 1)
+    other = np.arange(row.size) - np.repeat(np.cumsum(b - 1) - (b - 1), b - 1)
+    other += other >= own[row]
+    x, y = np.minimum(own[row], other), np.maximum(own[row], other)
+    tile = _mixed(key[is_hot][row] * _M1 + (x * b[row] + y).astype(np.uint64) * _M2 + np.uint64(1))
+    return sid, n, fp, np.concatenate([key[~is_hot], tile]), np.concatenate([lead[~is_hot], lead[is_hot][row]]), np.concatenate([who[~is_hot], who[is_hot][row]])
+
+
+def _joined(held: list[tuple[np.ndarray, ...]], parts: np.ndarray) -> Iterator[pa.RecordBatch]:
     before = np.cumsum([0, *(x[0].size for x in held)])
     sid, n, fp, key, lead = (np.concatenate([x[i] for x in held]) for i in range(5))
     yield from _packed(parts, sid, n, fp, key, lead, np.concatenate([x[5] + b for x, b in zip(held, before[:-1], strict=True)]))
 
 
-def _shard_keys(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(sid, n, fp) of the sets of a batch and (key, lead, set's place in the batch) of their shards."""
+def _shard_keys(batches: Iterator[pa.RecordBatch], common: dict[str, int], above: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(sid, n, fp) of the sets of a batch and (key, lead, set's place in the batch) of their shards.
+
+    With ``above`` only the shards of words that are all in more sets than that: no other shard can have more rows.
+    """
     table = _Words(common)
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
@@ -178,9 +209,11 @@ def _shard_keys(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> It
             row = np.repeat(np.arange(n.size), n)
             begin = np.cumsum(n) - n
             h, rank, often = np.array(table.hashes, dtype=np.uint64)[flat], np.array(table.ranks, dtype=np.int64)[flat], np.array(table.often, dtype=bool)[flat]
+            many = rank >= (1 << 62) + ((above + 1) << 20) if above is not None else None
             fp = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), begin)
             order = np.lexsort((h, rank, row))
             h, often = h[order], often[order]
+            many = many[order] if many is not None else np.ones(h.size, dtype=bool)
             fields = {f: np.uint64(_hash(f)) for f in set(part.column(0).to_pylist())}
             salt = np.array([fields[f] for f in part.column(0).to_pylist()], dtype=np.uint64)
             sid = part.column(1).to_numpy()
@@ -195,14 +228,14 @@ def _shard_keys(batches: Iterator[pa.RecordBatch], common: dict[str, int]) -> It
             width = int(as_large[two].max()) + 1 if two.size else 0
             for j in range(width):
                 a = two[j < as_large[two] + 1]
-                one = a[~often[begin[a] + j]]
+                one = a[~often[begin[a] + j] & (above is None)]
                 put(one, h[begin[one] + j], j < as_small[one] + 1, small)
                 for i in range(j):
-                    b = a[often[begin[a] + i] & often[begin[a] + j]]
+                    b = a[often[begin[a] + i] & often[begin[a] + j] & many[begin[a] + i] & many[begin[a] + j]]
                     put(b, h[begin[b] + i] * _M1 + h[begin[b] + j], j < as_small[b] + 1, small)
             for k in np.flatnonzero(~small):
-                words = h[begin[k] : begin[k] + as_large[k]]
-                put(np.full(words.size, k), words + _M2, np.arange(words.size) < as_small[k], ~small)
+                at = np.flatnonzero(many[begin[k] : begin[k] + as_large[k]])
+                put(np.full(at.size, k), h[begin[k] + at] + _M2, at < as_small[k], ~small)
             if not rows:
                 continue
             who = np.concatenate(rows)
@@ -228,24 +261,16 @@ def _linear(key: np.ndarray, n: np.ndarray, lead: np.ndarray, fp: np.ndarray) ->
         step += 1
 
 
-def vantage_pairs(n: np.ndarray, lead: np.ndarray, fp: np.ndarray, at: np.ndarray | None = None, leaf: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def vantage_pairs(n: np.ndarray, lead: np.ndarray, fp: np.ndarray, at: np.ndarray | None = None, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidates (i, j) of one shard, by a vantage-point tree over the fingerprints; n is sorted.
 
-    A node's rows are divided at the median distance to its vantage point. A pair on two sides of the boundary is at least
+    A node's rows are divided by their distance to its vantage point. A pair on two sides of the boundary is at least
     (outer distance - inner distance) apart, so only rows within the ball's radius of the boundary are
-    joined across it. A node that the boundary doesn't thin out is compared row by row.
+    joined across it. The boundary is the one with the least pairs left to compare; a node in which none saves a fifth of them is compared row by row.
     """
     at = np.arange(n.size) if at is None else at
-    if at.size <= leaf:
-        for i, j in _linear(np.zeros(at.size, dtype=np.int64), n[at], lead[at], fp[at]):
-            yield at[i], at[j]
-        return
-    d = np.bitwise_count(fp[at] ^ fp[at[at.size // 2]]).astype(np.int64)
-    median = int(np.median(d))
-    reach = int(6 * n[at].max() // 17)
-    inner, outer = at[d <= median], at[d > median]
-    rim = at[(d <= median) & (d > median - reach)], at[(d > median) & (d <= median + reach)]
-    if not outer.size or rim[0].size + rim[1].size > 0.7 * at.size:
+    inner, outer, rim = _divided(n, fp, at) if at.size > leaf else (at, at[:0], None)
+    if rim is None:
         for i, j in _linear(np.zeros(at.size, dtype=np.int64), n[at], lead[at], fp[at]):
             yield at[i], at[j]
         return
@@ -254,6 +279,21 @@ def vantage_pairs(n: np.ndarray, lead: np.ndarray, fp: np.ndarray, at: np.ndarra
     yield from _across(n, lead, fp, *rim)
 
 
+def _divided(n: np.ndarray, fp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray] | None]:
+    """(rows within the boundary, rows beyond it, the rows of both within reach of it) of a node; no rim where the node isn't worth a division."""
+    d = np.bitwise_count(fp[at] ^ fp[at[at.size // 2]]).astype(np.int64)
+    reach = int(6 * n[at].max() // 17)
+    upto = np.concatenate([np.zeros(reach + 1, dtype=np.int64), np.cumsum(np.bincount(d, minlength=65)), np.full(reach, at.size)])  # upto[x + reach + 1]: rows at distance x or less
+    x = np.arange(65) + reach + 1
+    within, below, beyond = upto[x], upto[x - reach], upto[np.minimum(x + reach, upto.size - 1)]
+    work = within**2 + (at.size - within) ** 2 + 2 * (within - below) * (beyond - within)
+    r = int(np.argmin(work))
+    if work[r] > 0.8 * at.size**2:
+        return at, at[:0], None
+    near = d <= r
+    return at[near], at[~near], (at[near & (d > r - reach)], at[~near & (d <= r + reach)])
+
+
 def _across(n: np.ndarray, lead: np.ndarray, fp: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidates between two disjoint groups of rows, in blocks."""
     for a in range(0, left.size, 1024):
@@ -266,98 +306,87 @@ def _across(n: np.ndarray, lead: np.ndarray, fp: np.ndarray, left: np.ndarray, r
                 yield left[a + i], right[b + j]
 
 
-_CANDIDATE = "a bigint, b bigint, tile bigint, side int, n int, lead boolean, fp bigint"
-
-
-def _candidate_batch(a, b, tile=None, side=None, n=None, lead=None, fp=None) -> pa.RecordBatch:
-    size = len(a)
-    cols = [(a, pa.int64()), (b, pa.int64()), (tile, pa.int64()), (side, pa.int32()), (n, pa.int32()), (lead, pa.bool_()), (fp, pa.int64())]
-    return pa.record_batch([pa.nulls(size, t) if x is None else pa.array(x, t) for x, t in cols], names=["a", "b", "tile", "side", "n", "lead", "fp"])
+_PAIR = "a bigint, b bigint"
+_HELD_PAIRS = 1_000_000
 
 
 def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]], sid: np.ndarray) -> pa.RecordBatch:
     i, j = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, dtype=np.int64) for k in (0, 1))
     both = np.unique(np.stack([np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])], axis=1), axis=0)
     both = both[both[:, 0] < both[:, 1]]
-    return _candidate_batch(both[:, 0], both[:, 1])
+    return pa.record_batch([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], names=["a", "b"])
 
 
-def _shards(batches: Iterator[pa.RecordBatch], tile: int) -> Iterator[pa.RecordBatch]:
-    """Candidates of packed parts, sorted by part; rows of shards larger than ``tile`` go on as tiles."""
-    for rows in _whole_keys(batches, "part", 1):
-        part, data = rows["part"].to_numpy(), rows["data"]
-        for p in np.unique(part):
-            cols = zip(*(_unpacked(data[int(i)].as_py()) for i in np.flatnonzero(part == p)), strict=True)
-            yield from _shards_of_part(*(np.concatenate(c) for c in cols), tile)
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of the packed rows of one part after the other; rows are sorted by part."""
+    held: list[tuple[np.ndarray, ...]] = []
+    now = None
+    for batch in batches:
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if part != now and held:
+                yield from _shards_of_part(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held = []
+            now = part
+            held.append(_unpacked(data.as_py()))
+    if held:
+        yield from _shards_of_part(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
-def _shards_of_part(key: np.ndarray, sid: np.ndarray, n: np.ndarray, lead: np.ndarray, fp: np.ndarray, tile: int) -> Iterator[pa.RecordBatch]:
+def _shards_of_part(key: np.ndarray, sid: np.ndarray, n: np.ndarray, lead: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((n, key))
     key, sid, n, lead, fp = key[order], sid[order], n[order], lead[order], fp[order]
     begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.concatenate([begins, [key.size]]))
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
-    small = min(2048, tile)
-    usual = np.repeat(sizes <= small, sizes)
-    of = np.flatnonzero(usual)
-    pairs += [(of[i], of[j]) for i, j in _linear(key[of], n[of], lead[of], fp[of])]
-    for begin, size in zip(begins[sizes > small], sizes[sizes > small], strict=True):
-        part = np.arange(begin, begin + size)
-        if size <= tile:
-            pairs += [(part[i], part[j]) for i, j in vantage_pairs(n[part], lead[part], fp[part])]
-            continue
-        block = np.arange(size) * -(-size // tile) // size
-        for x in range(block[-1] + 1):  # a row goes to the tiles of its block with each block
-            for y in range(x, block[-1] + 1):
-                for side, b in enumerate(dict.fromkeys((x, y))):
-                    r = part[block == b]
-                    name = _mixed(np.array([int(key[begin]) * 1_000_003 + x * 10_007 + y], dtype=np.int64).view(np.uint64)).view(np.int64)[0]
-                    yield _candidate_batch(sid[r], sid[r], np.full(r.size, name), np.full(r.size, side), n[r], lead[r], fp[r].view(np.int64))
+    of = np.flatnonzero(np.repeat(sizes <= LEAF, sizes))
+    found = ((of[i], of[j]) for i, j in _linear(key[of], n[of], lead[of], fp[of]))
+    trees = ((begin + i, begin + j) for begin, size in zip(begins[sizes > LEAF], sizes[sizes > LEAF], strict=True) for i, j in vantage_pairs(n[begin : begin + size], lead[begin : begin + size], fp[begin : begin + size]))
+    pairs, held = [], 0
+    for pair in itertools.chain(found, trees):
+        pairs.append(pair)
+        held += pair[0].size
+        if held > _HELD_PAIRS:
+            yield _distinct(pairs, sid)
+            pairs, held = [], 0
     yield _distinct(pairs, sid)
 
 
-def _whole_keys(batches: Iterator[pa.RecordBatch], column: str = "key", size: int = 100_000) -> Iterator[pa.Table]:
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= size:
-            table = pa.Table.from_batches(held)
-            key = table[column].to_numpy()
-            cut = int(np.searchsorted(key, key[-1], "left"))
-            if cut:
-                yield table.slice(0, cut)
-                held = table.slice(cut).to_batches()
-                rows -= cut
-            size = max(size, 2 * rows)
-    if held and rows:
-        yield pa.Table.from_batches(held)
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of tiles: rows (a = sid, tile, side, n, lead, fp) sorted by (tile, n)."""
-    renamed = (pa.record_batch([b.column("tile"), b.column("a"), b.column("side"), b.column("n"), b.column("lead"), b.column("fp")], names=["key", "sid", "side", "n", "lead", "fp"]) for b in batches)
-    for rows in _whole_keys(renamed):
-        key, sid, side, n, lead, fp = (rows[c].to_numpy(zero_copy_only=False) for c in ("key", "sid", "side", "n", "lead", "fp"))
-        n, fp = n.astype(np.int64), fp.view(np.uint64)
-        pairs = []
-        for k in np.unique(key):
-            left, right = np.flatnonzero((key == k) & (side == 0)), np.flatnonzero((key == k) & (side == 1))
-            if right.size:
-                pairs += list(_across(n, lead, fp, left, right))
-            else:
-                pairs += [(left[i], left[j]) for i, j in vantage_pairs(n[left], lead[left], fp[left])]
-        yield _distinct(pairs, sid)
+def _hot_shards(sets: DataFrame, common: Broadcast, tile: int) -> dict[int, int]:
+    """key -> number of blocks (two at least) of the shards with more than ``tile`` rows.
+
+    Only words in more than ``tile`` sets can make one: there are at most (words of all sets / tile) of them, and the keys that come out are as few.
+    """
+    if sum(c > tile for c in common.value.values()) < 1:
+        return {}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for *_, key, _, _ in _shard_keys(batches, common.value, tile):
+            seen.update(dict(zip(*(x.tolist() for x in np.unique(key.view(np.int64), return_counts=True)), strict=True)))
+            if len(seen) > 500_000:
+                yield pa.record_batch([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["key", "n"])
+                seen.clear()
+        yield pa.record_batch([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["key", "n"])
+
+    rows = sets.select("field_name", "sid", "n", "words").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > tile).collect()
+    return {r["key"] % 2**64: -(-2 * r["n"] // tile) for r in rows}
+
+
+def _part_names(spark: SparkSession, parts: int) -> np.ndarray:
+    """A name for each part, so that hash partitioning by name puts every part into a partition of its own."""
+    ids = spark.range(0, 64 * parts + 1024).select(F.col("id").cast("int").alias("name"))
+    rows = ids.groupBy(F.pmod(F.hash("name"), F.lit(parts)).alias("p")).agg(F.min("name").alias("name")).collect()  # a row a partition
+    return np.array([r["name"] for r in rows], dtype=np.int64)
 
 
 def alike_sets(sets: DataFrame, tile: int = TILE) -> DataFrame:
     """(field_name, s_a, s_b) of the staged distinct sets (field_name, sid, s, n, words) with similarity of 0.7 or more; s_a < s_b."""
-    common = sets.sparkSession.sparkContext.broadcast(_common_words(sets))
-    parts = max(shuffle_partitions(sets.sparkSession), -(-sets.count() // SETS_PER_PART))
-    shards = sets.select("field_name", "sid", "n", "words").mapInArrow(lambda it: _shard_rows(it, common.value, parts), "part int, data binary")
-    found = stage(shards.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(lambda it: _shards(it, tile), _CANDIDATE), "candidates")
-    tiles = found.filter("tile is not null").repartition("tile").sortWithinPartitions("tile", "n").mapInArrow(_tiles, _CANDIDATE)
-    pairs = found.filter("tile is null").unionByName(tiles).select("a", "b").distinct()
+    spark = sets.sparkSession
+    common = spark.sparkContext.broadcast(_common_words(sets, tile))
+    hot = spark.sparkContext.broadcast(_hot_shards(sets, common, tile))
+    parts = max(shuffle_partitions(spark), -(-sets.count() // SETS_PER_PART))
+    names = _part_names(spark, parts)
+    shards = sets.select("field_name", "sid", "n", "words").mapInArrow(lambda it: _shard_rows(it, common.value, hot.value, names), "part int, data binary")
+    pairs = shards.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shards, _PAIR).distinct()
     left = sets.select(F.col("sid").alias("a"), "field_name", F.col("s").alias("s_l"), F.col("words").alias("words_l"), F.col("n").alias("n_l"))
     right = sets.select(F.col("sid").alias("b"), F.col("s").alias("s_r"), F.col("words").alias("words_r"), F.col("n").alias("n_r"))
     pairs = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect(F.split("words_l", " "), F.split("words_r", " "))))
@@ -380,7 +409,12 @@ def alike_pairs(records: DataFrame, tile: int = TILE) -> DataFrame:
     links = stage(alike_sets(distinct_sets(members), tile), "links")
     who = members.select("field_name", "s", "id").distinct()
     a, b = (who.select("field_name", F.col("s").alias(f"s_{x}"), F.col("id").alias(f"i_{x}")) for x in "ab")
-    same = a.join(b.withColumnRenamed("s_b", "s_a"), ["field_name", "s_a"]).filter("i_a < i_b").select("field_name", "i_a", "i_b")
+    # copies: a class meets itself in blocks, so one with a third of all records is written by many tasks
+    blocks = who.groupBy("field_name", "s").agg(F.ceil(F.count("*") / F.lit(COPIES)).cast("int").alias("blocks"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    copies = who.join(blocks, ["field_name", "s"])
+    left = copies.select("field_name", "s", F.col("id").alias("i_a"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    right = copies.select("field_name", "s", F.col("id").alias("i_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    same = left.join(right, ["field_name", "s", "block"]).filter("i_a < i_b").select("field_name", "i_a", "i_b")
     other = links.join(a, ["field_name", "s_a"]).join(b, ["field_name", "s_b"]).filter("i_a <> i_b").select("field_name", "i_a", "i_b")
     both = same.unionByName(other)
     return both.select("field_name", F.least("i_a", "i_b").alias("id_a"), F.greatest("i_a", "i_b").alias("id_b")).distinct()
