@@ -32,7 +32,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.staging import shuffle_partitions, stage
+from evispark.staging import broadcast_if_small, shuffle_partitions, stage
 
 MIN_WORDS = 8
 #: Sets whose smaller partner has more words than this are sharded by single words.
@@ -386,7 +386,7 @@ def alike_sets(sets: DataFrame, tile: int = TILE) -> DataFrame:
     parts = max(shuffle_partitions(spark), -(-sets.count() // SETS_PER_PART))
     names = _part_names(spark, parts)
     shards = sets.select("field_name", "sid", "n", "words").mapInArrow(lambda it: _shard_rows(it, common.value, hot.value, names), "part int, data binary")
-    pairs = shards.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shards, _PAIR).distinct()
+    pairs = stage(shards.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_shards, _PAIR).distinct(), "candidates")  # the keys' shuffle can go before the joins begin
     left = sets.select(F.col("sid").alias("a"), "field_name", F.col("s").alias("s_l"), F.col("words").alias("words_l"), F.col("n").alias("n_l"))
     right = sets.select(F.col("sid").alias("b"), F.col("s").alias("s_r"), F.col("words").alias("words_r"), F.col("n").alias("n_r"))
     pairs = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect(F.split("words_l", " "), F.split("words_r", " "))))
@@ -395,9 +395,9 @@ def alike_sets(sets: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def distinct_sets(members: DataFrame) -> DataFrame:
-    """The distinct word sets of :func:`word_sets`, numbered and staged."""
-    sets = members.groupBy("field_name", "s").agg(F.first("n").alias("n"), F.first("words").alias("words"))
-    return stage(sets.select("field_name", F.monotonically_increasing_id().alias("sid"), "s", "n", "words"), "sets")
+    """The distinct word sets of :func:`word_sets`, numbered and staged, with the number of their rows."""
+    sets = members.groupBy("field_name", "s").agg(F.first("n").alias("n"), F.first("words").alias("words"), F.count("*").alias("rows"))
+    return stage(sets.select("field_name", F.monotonically_increasing_id().alias("sid"), "s", "n", "words", "rows"), "sets")
 
 
 def alike_pairs(records: DataFrame, tile: int = TILE) -> DataFrame:
@@ -406,12 +406,13 @@ def alike_pairs(records: DataFrame, tile: int = TILE) -> DataFrame:
     ``records`` is (field_name, id, text); an id that stands on several rows is one record.
     """
     members = stage(word_sets(records), "words")
-    links = stage(alike_sets(distinct_sets(members), tile), "links")
+    sets = distinct_sets(members)
+    links = stage(alike_sets(sets, tile), "links")
     who = members.select("field_name", "s", "id").distinct()
     a, b = (who.select("field_name", F.col("s").alias(f"s_{x}"), F.col("id").alias(f"i_{x}")) for x in "ab")
     # copies: a class meets itself in blocks, so one with a third of all records is written by many tasks
-    blocks = who.groupBy("field_name", "s").agg(F.ceil(F.count("*") / F.lit(COPIES)).cast("int").alias("blocks"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    copies = who.join(blocks, ["field_name", "s"])
+    crowds = sets.filter(F.col("rows") > COPIES).select("field_name", "s", F.ceil(F.col("rows") / F.lit(COPIES)).cast("int").alias("blocks"))
+    copies = who.join(broadcast_if_small(crowds, 100_000), ["field_name", "s"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     left = copies.select("field_name", "s", F.col("id").alias("i_a"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     right = copies.select("field_name", "s", F.col("id").alias("i_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     same = left.join(right, ["field_name", "s", "block"]).filter("i_a < i_b").select("field_name", "i_a", "i_b")

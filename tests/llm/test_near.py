@@ -48,6 +48,28 @@ def test_all_pairs_are_found(spark, sizes, tile):
     assert len(want) > 50 and got == want
 
 
+def test_a_crowd_of_copies_meets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPIES", 3)
+    text = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [("f", f"c{k:02d}", text) for k in range(20)] + [("f", "d", text + " iota")]
+    assert {tuple(r) for r in N.alike_pairs(make(spark, rows)).collect()} == brute(rows)
+
+
+def test_no_task_sees_a_hot_shard_whole(spark):
+    """Sets of common words only: with small tiles nearly all shards are hot, and no part holds more of one than a tile."""
+    rows = [("f", f"id{k}", " ".join(f"w{j}" for j in random.Random(k).sample(range(14), 10))) for k in range(300)]
+    sets = N.distinct_sets(N.word_sets(make(spark, rows)))
+    common = N._common_words(sets, 20)
+    hot = N._hot_shards(sets, spark.sparkContext.broadcast(common), 20)
+    assert hot and min(hot.values()) >= 2
+    keys, blocks = np.array(sorted(hot), dtype=np.uint64), np.array([hot[k] for k in sorted(hot)])
+    found = [N._tiled(*x, keys, blocks)[3] for x in N._shard_keys(iter(sets.select("field_name", "sid", "n", "words").toArrow().to_batches()), common)]
+    before = [x[3] for x in N._shard_keys(iter(sets.select("field_name", "sid", "n", "words").toArrow().to_batches()), common)]
+    most = lambda ks: np.unique(np.concatenate(ks), return_counts=True)[1].max()
+    assert most(found) < most(before) / 2
+    assert {tuple(r) for r in N.alike_pairs(make(spark, rows), 20).collect()} == brute(rows)
+
+
 def test_edges(spark):
     text = "alpha beta gamma delta epsilon zeta eta theta"
     rows = [("f", "b", text), ("f", "a", text.upper()), ("f", "a", text), ("g", "a", text), ("f", "c", None), ("f", "d", ""), ("f", "e", "too few words"), ("f", None, text), ("f", "z", text + " iota kappa lamda"), ("f", "y", text + " iota kappa lamda mu")]
