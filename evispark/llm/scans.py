@@ -2,13 +2,13 @@
 
 Evidence is counted over all pages and joined in SQL; single pages are only read for their lines and words.
 
-* Running lines: edge lines that come again on other pages of their paper, a few letters aside, or that give the paper's title,
-  its authors or a volume name.
+* Running lines: edge lines that come again on other pages of their paper, a few letters aside, that give the paper's title or
+  its authors, or that stand at the edges of other papers too, as a volume's name does (with a capital first and no end of a sentence).
 * Page numbers: edge lines whose number runs with the pages; each paper prints one style at one edge.
 * Broken words: a hyphen at a line's end, where the joined form has more evidence than the hyphenated one.
 * Misread letters: rare words are joined with frequent ones by the difference of their anagram hashes (sum of
-  the fifth powers of the characters), one difference for each confusion of letters and each pair of confusions; the best
-  ranked variant must be far more frequent and is the correction.
+  the fifth powers of the characters), one difference for each confusion of letters and each pair of confusions, all in SQL; the best
+  ranked variant must be far more frequent and is the correction. Of a word with a sign in it that no word has, any plain variant is.
 """
 
 from __future__ import annotations
@@ -16,13 +16,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, reduce
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evispark.functions.text import SECTION_TITLES
 from evispark.operators.selection import round_robin
 from evispark.staging import stage
 
@@ -34,16 +36,12 @@ CONFUSIONS = [
 ]
 #: Characters that never belong inside a printed word.
 _SIGNS = "�|†πﬀﬁﬂﬃﬄﬅﬆſ¢€¥"
-#: Section headings, which may stand at a page's edge and come again.
-HEADINGS = [
-    "abstract", "introduction", "introduction and motivation", "motivation", "related work", "prior work", "background", "literature review", "methods", "method", "methodology", "materials and methods", "experiments", "experimental setup", "implementation",
-    "results", "results and discussion", "findings", "evaluation", "discussion", "limitations", "limitation", "conclusion", "conclusions", "references", "bibliography", "acknowledgments", "acknowledgements", "appendix", "supplementary material", "supplementary materials",
-]
+#: Section headings, which may stand at a page's edge and come again: the known titles and some that papers use besides.
+HEADINGS = [*SECTION_TITLES, "introduction and motivation", "motivation", "prior work", "literature review", "implementation", "evaluation"]
 _HEADING_KEYS = {re.sub("[^a-z]", "", h) for h in HEADINGS}
 #: What may follow a hyphen that stands for a part left out.
 _SUSPENDED = ("and", "or", "to", "und", "et", "y")
 _BREAK = "-­¬‐"
-_VOLUME = re.compile(r"\s*(journal|annals|transactions|letters|proceedings|bulletin|archives|advances) of( [^\W\d_][\w'.|†�-]*){1,8}(, .+| · .+)?\s*\d*\s*$", re.IGNORECASE)
 _DIGITS = str.maketrans({"l": "1", "I": "1", "i": "1", "|": "1", "!": "1", "O": "0", "o": "0", "S": "5", "s": "5", "B": "8", "b": "6", "g": "9", "q": "9", "Z": "2", "z": "2"})
 _NUM = r"[0-9lIi|!OoSsBbgqZz]{1,6}"
 _ROMAN = r"[ivxlcdm1|]{1,12}"
@@ -100,20 +98,20 @@ def key_of(line: Column) -> Column:
 
 
 def edge_lines(pages: DataFrame) -> DataFrame:
-    """The two first and two last lines with text of each page: (paper_id, page_id, page_number, line_no, line, side, slot, volume)."""
+    """The two first and two last lines with text of each page: (paper_id, page_id, page_number, line_no, line, side, slot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, no, line, side, slot, volume = [], [], [], [], [], []
+            of, no, line, side, slot = [], [], [], [], []
             for i, text in enumerate(batch.column(3).to_pylist()):
                 lines = [(j, x) for j, x in enumerate(text.split("\n")) if x.strip()]
                 for where, edge in (("top", lines[:2]), ("bottom", lines[:-3:-1])):
                     for k, (j, x) in enumerate(edge):
-                        of.append(i), no.append(j), line.append(x), side.append(where), slot.append(k + 1), volume.append(len(x) < 200 and _VOLUME.match(x) is not None)
+                        of.append(i), no.append(j), line.append(x), side.append(where), slot.append(k + 1)
             at = pa.array(of, pa.int32())
-            yield pa.record_batch([*(batch.column(c).take(at) for c in range(3)), pa.array(no, pa.int32()), pa.array(line, pa.string()), pa.array(side, pa.string()), pa.array(slot, pa.int32()), pa.array(volume, pa.bool_())], names=["paper_id", "page_id", "page_number", "line_no", "line", "side", "slot", "volume"])
+            yield pa.record_batch([*(batch.column(c).take(at) for c in range(3)), pa.array(no, pa.int32()), pa.array(line, pa.string()), pa.array(side, pa.string()), pa.array(slot, pa.int32())], names=["paper_id", "page_id", "page_number", "line_no", "line", "side", "slot"])
 
-    return pages.select("paper_id", "page_id", "page_number", "text").mapInArrow(run, "paper_id string, page_id string, page_number int, line_no int, line string, side string, slot int, volume boolean")
+    return pages.select("paper_id", "page_id", "page_number", "text").mapInArrow(run, "paper_id string, page_id string, page_number int, line_no int, line string, side string, slot int")
 
 
 def page_numbers(edges: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -147,6 +145,10 @@ def page_numbers(edges: DataFrame, sizes: DataFrame) -> DataFrame:
 PAIRED_PAGES = 30
 
 
+#: Frequent letters, by whose counts keys are told apart before they are compared letter by letter.
+LETTERS = "etaoinsr"
+
+
 def _edits(n: Column) -> Column:
     """The letters that may differ from a running line of ``n`` letters."""
     return F.greatest(F.lit(1), F.floor(0.15 * n)).cast("int")
@@ -195,16 +197,21 @@ def running_lines(edges: DataFrame, numbers: DataFrame, sizes: DataFrame, papers
     rows = edges.join(alone, ["page_id", "line_no"], "left").withColumn("is_number", F.coalesce("is_number", F.lit(False)))
     opened = rows.filter("is_number and slot = 1").select("page_id", "side", F.lit(2).alias("first"))
     rows = rows.join(opened, ["page_id", "side"], "left").filter("not is_number").filter(F.col("slot") <= F.coalesce("first", F.lit(1)))
-    rows = rows.withColumn("key", key_of(F.col("line"))).filter((F.length("key") >= 3) & ~F.col("key").isin(*_HEADING_KEYS)).select("paper_id", "page_id", "page_number", "line_no", "key", "volume", "line").dropDuplicates(["page_id", "line_no"])
+    rows = rows.withColumn("key", key_of(F.col("line"))).filter((F.length("key") >= 3) & ~F.col("key").isin(*_HEADING_KEYS)).select("paper_id", "page_id", "page_number", "line_no", "key", F.trim("line").rlike(r"^[^\p{L}]*\p{Lu}.*[^.,;:!?]$").alias("name")).dropDuplicates(["page_id", "line_no"])
     rows = stage(rows, "edges")
     # a page that prose ends or begins: its line is long and comes once; what comes again, a few letters aside, is a template
-    keys = rows.groupBy("paper_id", "key").agg(F.countDistinct("page_number").alias("n"), F.min("page_number").alias("page")).join(sizes, "paper_id").withColumn("kid", F.xxhash64("key"))
-    keys = stage(keys, "keys")
-    other = keys.select("paper_id", F.col("kid").alias("tid"), F.col("key").alias("t"), F.when(F.col("n") == 1, F.col("page")).alias("only"), "n_pages")
-    once = keys.filter("n = 1").select("paper_id", "kid", "key", "page")
+    keys = rows.groupBy("paper_id", "key").agg(F.countDistinct("page_number").alias("n"), F.min("page_number").alias("page"), F.min("name").alias("name")).join(sizes, "paper_id").withColumn("kid", F.xxhash64("key"))
+    keys = stage(keys.select("*", *[(F.length("key") - F.length(F.translate("key", x, ""))).alias(f"c{i}") for i, x in enumerate(LETTERS)]), "keys")
+    volumes = keys.filter("name").groupBy("key").agg(F.min("paper_id").alias("p0"), F.max("paper_id").alias("p1")).filter("p0 <> p1").select("key")
+    counts = [f"c{i}" for i in range(len(LETTERS))]
+    other = keys.select("paper_id", F.col("kid").alias("tid"), F.col("key").alias("t"), F.when(F.col("n") == 1, F.col("page")).alias("only"), "n_pages", *[F.col(c).alias(f"t{c}") for c in counts])
+    once = keys.filter("n = 1").select("paper_id", "kid", "key", "page", *counts)
     short, long = F.col("n_pages") <= PAIRED_PAGES, keys.filter(F.col("n_pages") > PAIRED_PAGES)
-    pairs = once.join(other.filter(short), "paper_id").select("paper_id", "key", "page", "t", "only")
-    pairs = pairs.unionByName(near_keys(long).join(once, ["paper_id", "kid"]).join(other.filter(~short), ["paper_id", "tid"]).select(*pairs.columns))
+    # an edit changes the counts of two letters by one at most: that is cheap to see
+    unlike = reduce(add, [F.abs(F.col(c) - F.col(f"t{c}")) for c in counts])
+    may = (F.abs(F.length("key") - F.length("t")) <= _edits(F.length("t"))) & (unlike <= 2 * _edits(F.length("t")))
+    pairs = once.join(other.filter(short), "paper_id").filter(may).select("paper_id", "key", "page", "t", "only")
+    pairs = pairs.unionByName(near_keys(long).join(once, ["paper_id", "kid"]).join(other.filter(~short), ["paper_id", "tid"]).filter(may).select(*pairs.columns))
     title, last = F.col("title"), F.transform(F.filter("authors", lambda a: F.length(F.trim(a)) > 0), lambda a: F.element_at(F.split(F.trim(a), r"\s+"), -1))
     lasts = F.coalesce(last, F.array().cast("array<string>"))
     known = papers.select("paper_id", F.explode(F.array(title, F.element_at(F.split(title, ":"), 1), F.try_element_at(lasts, F.lit(1)), F.concat(F.try_element_at(lasts, F.lit(1)), F.lit("etal")), F.concat(F.try_element_at(lasts, F.lit(1)), F.lit("and"), F.try_element_at(lasts, F.lit(2))), F.array_join(lasts, ""))).alias("t"))
@@ -212,8 +219,9 @@ def running_lines(edges: DataFrame, numbers: DataFrame, sizes: DataFrame, papers
     edits = _edits(F.length("t"))
     near = (F.abs(F.length("key") - F.length("t")) <= edits) & (F.expr("levenshtein(key, t, cast(greatest(1, floor(0.15D * length(t))) as int))") >= 0)
     hit = pairs.unionByName(keys.select("paper_id", "key", "page").join(known.distinct(), "paper_id")).filter((F.col("only").isNull() | (F.col("only") != F.col("page"))) & near)
-    hit = hit.select("paper_id", "key").unionByName(keys.filter("n > 1").select("paper_id", "key")).distinct()
-    return rows.join(hit, ["paper_id", "key"], "left_semi").select("page_id", "line_no").unionByName(rows.filter("volume").select("page_id", "line_no")).distinct()
+    again = keys.filter("n > 1").select("paper_id", "key").unionByName(keys.join(volumes, "key", "left_semi").select("paper_id", "key"))
+    hit = hit.select("paper_id", "key").unionByName(again).distinct()
+    return rows.join(hit, ["paper_id", "key"], "left_semi").select("page_id", "line_no").distinct()
 
 
 _OUTER = "()[]{},.;:\"'!?“”‘’*"
@@ -223,14 +231,21 @@ def _bare(x: str) -> str:
     return x.strip(_OUTER)
 
 
-_RING = 2**61
+_RING = 2**31 - 1
 #: Up to so many corrections are looked up where pages are read; more are joined.
 SMALL_CORRECTIONS = 100_000
 
 
 def anagram(word: str) -> int:
-    """The sum of the fifth powers of the characters, within 61 bits."""
-    return sum(ord(c) ** 5 for c in word) % _RING
+    """The sum of the fifth powers of the characters, each within 31 bits."""
+    return sum(pow(ord(c), 5, _RING) for c in word)
+
+
+def anagram_of(word: Column) -> Column:
+    """:func:`anagram` in SQL."""
+    ring = F.lit(_RING)
+    power = lambda x: x * x % ring * x % ring * x % ring * x % ring
+    return F.aggregate(F.transform(F.split(word, ""), lambda c: F.ascii(c).cast("bigint")), F.lit(0).cast("bigint"), lambda s, x: s + power(x))
 
 
 def _page_words(lines: list[str], skip: set[int]) -> tuple[list[tuple[int, str]], list[tuple[int, str, int, str]], tuple[int, str] | None, tuple[int, str] | None]:
@@ -299,8 +314,12 @@ def broken_words(evidence: DataFrame, counts: DataFrame) -> DataFrame:
     rows = rows.withColumn("t", F.regexp_replace(F.expr("substring(tail, 1, length(tail) - 1)"), outer, "")).withColumn("sign", F.expr("right(tail, 1)"))
     rows = rows.withColumn("h", F.regexp_replace("head", outer, "")).filter("t <> '' and h <> ''")
     rows = rows.withColumn("joined", F.concat("t", "h")).withColumn("hyphenated", F.concat_ws("-", "t", "h")).withColumn("last", F.element_at(F.split("t", "-"), -1)).withColumn("next", F.element_at(F.split("h", "-"), 1)).withColumn("short", F.concat("last", "next"))
-    for c in ("joined", "hyphenated", "last", "next", "short"):
-        rows = rows.join(counts.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}")), c, "left").withColumn(f"n_{c}", F.coalesce(f"n_{c}", F.lit(0)))
+    # each different break asks once for its five forms, in long form: one join with the counts, whatever tails and heads are frequent
+    forms = ("joined", "hyphenated", "last", "next", "short")
+    asked = rows.select("t", "h", *forms).distinct()
+    long = asked.select("t", "h", F.explode(F.array(*[F.struct(F.lit(i).alias("form"), F.col(c).alias("word")) for i, c in enumerate(forms)])).alias("x")).select("t", "h", "x.*")
+    known = long.join(counts.select("word", "n"), "word").groupBy("t", "h").agg(*[F.coalesce(F.max(F.when(F.col("form") == i, F.col("n"))), F.lit(0)).alias(f"n_{c}") for i, c in enumerate(forms)])
+    rows = rows.join(known, ["t", "h"], "left").na.fill(0, [f"n_{c}" for c in forms])
     one, two = F.greatest("n_joined", "n_short"), F.col("n_hyphenated")
     both_words = (F.col("n_last") >= 5) & (F.col("n_next") >= 5) & (F.length("last") > 2) & (F.length("next") > 2)
     suspended = F.col("h").isin(*_SUSPENDED) & (one == 0)
@@ -309,14 +328,14 @@ def broken_words(evidence: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.filter(broken).select("page_id", "line_no", "next_page", "next_line", F.col("t").alias("tail"), F.col("h").alias("head"), "joined")
 
 
-def _differences() -> list[tuple[str, str, int]]:
-    return [(true, seen, anagram(seen) - anagram(true)) for true, seen in CONFUSIONS]
+def _variants(word: Column, true: Column, seen: Column) -> Column:
+    """``word`` with one place of ``seen`` read as ``true``, for each place."""
+    places = F.filter(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.length(seen)) == seen)
+    return F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), true, F.substring(word, i + F.length(seen), F.length(word))))
 
 
-def _variants(word: str, true: str, seen: str) -> set[str]:
-    """``word`` with one place of ``seen`` read as ``true``."""
-    places = [m.start() for m in re.finditer(f"(?={re.escape(seen)})", word)]
-    return {word[:i] + true + word[i + len(seen) :] for i in places}
+#: A sign within a word, before or behind letters, or a digit among letters: no word is printed so.
+SIGNED = rf"\p{{L}}[{_SIGNS}]+\p{{L}}|^[{_SIGNS}]\p{{L}}{{2,}}|\p{{L}}{{2,}}[�|†πﬀ-ﬆ]$|[g-z][0-9][a-z]|[a-z][0-9][g-z]"
 
 
 def corrections(rare: DataFrame, counts: DataFrame, least: int = 4, ratio: int = 10) -> DataFrame:
@@ -324,53 +343,38 @@ def corrections(rare: DataFrame, counts: DataFrame, least: int = 4, ratio: int =
 
     ``rare`` is (word, n). A rare word's hash, less the difference of each confusion that its letters allow, is joined with
     the hashes of the frequent words; a pair is kept if reading the confusion backwards really gives the target, and ranked by
-    the number of confusions and the target's frequency, which must be ``ratio`` times the word's own.
+    the number of confusions and the target's frequency, which must be ``ratio`` times the word's own and ``least``; for a word
+    with a sign that no word has (:data:`SIGNED`) any target without one will do.
     """
-
-    def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _differences()
-        for batch in batches:
-            out = []
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, fit = anagram(word), [x for x in table if x[1] in word]
-                out += [(word, n, (own - d) % _RING, t, s, None, None) for t, s, d in fit]
-                out += [(word, n, (own - a[2] - b[2]) % _RING, a[0], a[1], b[0], b[1]) for i, a in enumerate(fit) for b in fit[i:] if len(word) > 5]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["word", "n", "hash", "t1", "s1", "t2", "s2"])
-
-    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, r in enumerate(batch.to_pylist()):
-                found = _variants(r["word"], r["t1"], r["s1"])
-                if r["t2"] is not None:
-                    found = {y for x in found for y in _variants(x, r["t2"], r["s2"])}
-                if r["target"] in found:
-                    keep.append(i)
-            yield batch.take(pa.array(keep, pa.int32())).select(["word", "target", "t2", "n_target"])
-
-    frequent = counts.filter(F.col("n") >= least).filter(F.col("word").rlike(r"^[a-z]{3,40}$")).select(F.col("word").alias("target"), F.col("n").alias("n_target"), "hash")
-    words = rare.filter(F.length("word").between(3, 40)).select("word", "n").mapInArrow(shifted, "word string, n bigint, hash bigint, t1 string, s1 string, t2 string, s2 string")
-    pairs = words.join(frequent, "hash").filter((F.col("n_target") >= F.greatest(F.lit(least), ratio * F.col("n"))) & (F.col("word") != F.col("target")))
-    pairs = pairs.select("word", "target", "t1", "s1", "t2", "s2", "n_target").mapInArrow(confirmed, "word string, target string, t2 string, n_target bigint")
+    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(s).alias("s"), F.lit(anagram(s) - anagram(t)).cast("bigint").alias("d")) for t, s in CONFUSIONS])
+    none = F.lit(None).cast("string")
+    shift = lambda h, a, t2, s2: F.struct(h.alias("hash"), a["t"].alias("t1"), a["s"].alias("s1"), t2.alias("t2"), s2.alias("s2"))
+    words = rare.filter(F.length("word").between(3, 40)).select("word", "n", anagram_of(F.col("word")).alias("own"), F.col("word").rlike(SIGNED).alias("signed"), F.filter(table, lambda x: F.col("word").contains(x["s"])).alias("fit"))
+    one = F.transform("fit", lambda a: shift(F.col("own") - a["d"], a, none, none))
+    two = F.flatten(F.transform("fit", lambda a, i: F.transform(F.slice("fit", i + 1, F.size("fit")), lambda b: shift(F.col("own") - a["d"] - b["d"], a, b["t"], b["s"]))))
+    words = words.select("word", "n", "signed", F.explode(F.when(F.length("word") > 5, F.concat(one, two)).otherwise(one)).alias("x")).select("word", "n", "signed", "x.*")
+    plain = counts.filter(F.col("word").rlike(r"^\p{L}{3,40}$") & ~F.col("word").rlike(SIGNED)).select(F.col("word").alias("target"), F.col("n").alias("n_target"), "hash")
+    enough = F.col("signed") | (F.col("n_target") >= F.greatest(F.lit(least), ratio * F.col("n")))
+    pairs = words.join(plain, "hash").filter(enough & (F.col("word") != F.col("target")))
+    first = _variants(F.col("word"), F.col("t1"), F.col("s1"))
+    read = F.when(F.col("t2").isNull(), first).otherwise(F.flatten(F.transform(first, lambda x: _variants(x, F.col("t2"), F.col("s2")))))
+    pairs = pairs.filter(F.array_contains(read, F.col("target")))
     w = Window.partitionBy("word").orderBy(F.col("t2").isNotNull(), F.col("n_target").desc(), "target")
     return pairs.groupBy("word", "target").agg(F.min(F.col("t2")).alias("t2"), F.max("n_target").alias("n_target")).withColumn("rank", F.row_number().over(w)).select("word", "target", "rank")
 
 
-def _hashed(words: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.append_column("hash", pa.array([anagram(w) if len(w) <= 40 else None for w in batch.column(0).to_pylist()], pa.int64()))
-
-    return words.select("word", "n").mapInArrow(run, "word string, n bigint, hash bigint")
+#: Marks the page that belongs to no paper: it is a paper of its own.
+_ALONE = "\x00"
 
 
 class Repair:
-    """What is known of the noise of a set of pages; each part is a staged table."""
+    """What is known of the noise of a set of pages; each part is a staged table.
+
+    Null texts and pages without an id have no rows; a page without a paper is a paper of its own; a page on several rows counts once.
+    """
 
     def __init__(self, pages: DataFrame, papers: DataFrame) -> None:
-        rows = pages.filter("page_id is not null and text is not null").select(F.coalesce("paper_id", F.lit("")).alias("paper_id"), "page_id", F.coalesce("page_number", F.lit(0)).cast("int").alias("page_number"), "text").dropDuplicates(["page_id"])
+        rows = pages.filter("page_id is not null and text is not null").select(F.coalesce("paper_id", F.concat(F.lit(_ALONE), F.col("page_id"))).alias("paper_id"), "page_id", F.coalesce("page_number", F.lit(0)).cast("int").alias("page_number"), "text").dropDuplicates(["page_id"])
         self.pages = stage(rows, "pages")
         sizes = self.pages.groupBy("paper_id").agg(F.countDistinct("page_number").alias("n_pages"))
         edges = stage(edge_lines(self.pages), "lines")
@@ -381,7 +385,7 @@ class Repair:
         flagged = self.numbers.select("page_id", "line_no").unionByName(self.headers).groupBy("page_id").agg(F.collect_set("line_no").alias("skip"))  # at most four a page
         self.marked = self.pages.join(flagged, "page_id", "left")
         evidence = stage(page_evidence(self.marked), "evidence")
-        self.counts = stage(_hashed(evidence.filter("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n"))), "counts")
+        self.counts = stage(evidence.filter("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n")).withColumn("hash", F.when(F.length("word") <= 40, anagram_of(F.col("word")))), "counts")
         self.broken = stage(broken_words(evidence, self.counts), "broken")
         # words that a misreading may have made: what is not plain, and what is rare; joined words of breaks too
         simple = self.counts.filter(F.length("word").between(3, 40)).select("word", "n")
@@ -392,10 +396,7 @@ class Repair:
 
     @cached_property
     def hits(self) -> DataFrame:
-        """(page_id, line_no, word, sure): words that have a correction, and words with signs that no word has (sure)."""
-        signs = re.compile(rf"[^\W\d_][{re.escape(_SIGNS)}]+[^\W\d_]|^[{re.escape(_SIGNS)}][^\W\d_]{{2,}}|[^\W\d_]{{2,}}[�|†πﬀ-ﬆ]$")
-        digits = re.compile(r"[g-z][0-9][a-z]|[a-z][0-9][g-z]")
-
+        """(page_id, line_no, word): words that have a correction."""
         small = self.corrections.count() <= SMALL_CORRECTIONS
         shared = self.corrections.sparkSession.sparkContext.broadcast({r["word"] for r in self.corrections.select("word").collect()} if small else None)
 
@@ -407,25 +408,22 @@ class Repair:
                     words, breaks, _, open_ = _page_words(text.split("\n"), set(skip or ()))
                     words += [(i, t[:-1]) for i, t, _, _ in breaks] + [(j, h) for _, _, j, h in breaks] + ([(open_[0], open_[1][:-1])] if open_ else [])
                     for i, w in set(words):
-                        if not (w.isascii() and w.isalpha()) and len(w) <= 40 and (signs.search(w) or digits.search(w)):
-                            rows.add((page, i, w, True))
-                        rows.update((page, i, p, False) for p in ((w, *_parts(w)) if "-" in w else (w,)) if fixes is None or p in fixes)
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.bool_()), strict=True)], names=["page_id", "line_no", "word", "sure"])
+                        rows.update((page, i, p) for p in ((w, *_parts(w)) if "-" in w else (w,)) if fixes is None or p in fixes)
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.string()), strict=True)], names=["page_id", "line_no", "word"])
 
-        words = self.marked.select("page_id", "text", "skip").mapInArrow(run, "page_id string, line_no int, word string, sure boolean")
-        return stage(words if small else words.join(self.corrections.select("word", F.lit(True).alias("fix")), "word", "left").filter("sure or fix").select("page_id", "line_no", "word", "sure"), "hits")
+        words = self.marked.select("page_id", "text", "skip").mapInArrow(run, "page_id string, line_no int, word string")
+        return stage(words if small else words.join(self.corrections.select("word"), "word", "left_semi").select("page_id", "line_no", "word"), "hits")
 
     def misread(self) -> DataFrame:
         """(page_id, line_no): body lines with a word that came out wrong."""
         # ends of broken words are words of their own only by chance: they count through the joined word
         ends = self.broken.select("page_id", "line_no", F.col("tail").alias("word")).unionByName(self.broken.select(F.col("next_page").alias("page_id"), F.col("next_line").alias("line_no"), F.col("head").alias("word")))
-        sure = self.hits.filter("sure").select("page_id", "line_no")
-        known = self.hits.filter("not sure").join(ends, ["page_id", "line_no", "word"], "left_anti").select("page_id", "line_no")
+        known = self.hits.join(ends, ["page_id", "line_no", "word"], "left_anti").select("page_id", "line_no")
         split = self.broken.join(self.corrections.withColumnRenamed("word", "joined"), "joined")
         in_tail = ~F.col("target").startswith(F.col("tail"))
         split = split.select(F.when(in_tail, F.col("page_id")).otherwise(F.col("next_page")).alias("page_id"), F.when(in_tail, F.col("line_no")).otherwise(F.col("next_line")).alias("line_no"))
-        return sure.unionByName(known).unionByName(split).distinct()
+        return known.unionByName(split).distinct()
 
     def found(self) -> DataFrame:
         """(page_id, line_no, noise_kind), each case once."""
@@ -471,7 +469,7 @@ class Repair:
         whole = whole.unionByName(rows.filter("not prose").select("paper_id", F.array(piece).alias("parts")))
         first, last = F.element_at("parts", 1), F.element_at("parts", -1)
         whole = whole.select("paper_id", first["page_number"].alias("page_start"), last["page_number"].alias("page_end"), first["k"].alias("k"), F.trim(F.array_join(F.col("parts.para"), "")).alias("text"))
-        return round_robin(whole, "paper_id", ["page_start", "k"]).select("paper_id", F.col("round").cast("int").alias("paragraph_no"), "page_start", "page_end", "text")
+        return round_robin(whole, "paper_id", ["page_start", "k"]).select(F.when(~F.col("paper_id").startswith(_ALONE), F.col("paper_id")).alias("paper_id"), F.col("round").cast("int").alias("paragraph_no"), "page_start", "page_end", "text")
 
 
 def _paragraphs(lines: list[str], skip: set[int], broken: set[int], fix: dict[str, str]) -> list[tuple[str, bool]]:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from evispark.llm import scans as S
 
@@ -99,8 +100,25 @@ def test_other_lines(line):
 
 
 def test_anagram_differences():
-    assert (S.anagram("mernbrane") - S.anagram("rn") + S.anagram("m")) % S._RING == S.anagram("membrane")
-    assert S._variants("mernbrane", "m", "rn") == {"membrane"} and S._variants("aa", "b", "a") == {"ba", "ab"}
+    assert S.anagram("mernbrane") - S.anagram("rn") + S.anagram("m") == S.anagram("membrane")
+
+
+def test_anagrams_and_variants_in_sql(spark):
+    rows = [("mernbrane", "m", "rn", ["membrane"]), ("aa", "b", "a", ["ba", "ab"]), ("ström†\U0001f600", "t", "†", ["strömt\U0001f600"]), ("x", "y", "z", [])]
+    got = spark.createDataFrame(rows, "w string, t string, s string, want array<string>").select("w", S.anagram_of(F.col("w")).alias("h"), S._variants(F.col("w"), F.col("t"), F.col("s")).alias("v"), "want").collect()
+    assert all(r.h == S.anagram(r.w) and r.v == r.want for r in got)
+
+
+def test_a_volume_is_known_by_its_other_papers(spark):
+    line = "Archive of Open Sorting"
+    pages = [(f"p{k}", f"q{k}", 1, "\n".join([*([line] if k < 2 else []), OWN[k][0], *PROSE, OWN[k][1]])) for k in range(3)]
+    assert cases(make(spark, pages)) == {("p0", 0, "running_header"), ("p1", 0, "running_header")}
+
+
+def test_pages_without_a_paper_are_apart(spark):
+    pages = [(f"n{k}", None, 1, "\n".join([OWN[k][0], *PROSE, "The end of it."])) for k in range(2)]
+    repair = make(spark, pages)
+    assert {r.paper_id for r in repair.paragraphs().collect()} == {None}
 
 
 def volume(n):
