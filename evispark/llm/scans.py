@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from evispark.functions.text import SECTION_TITLES
 from evispark.operators.selection import round_robin
-from evispark.staging import stage
+from evispark.staging import broadcast_if_small, stage
 
 #: Letters and what scanners are known to make of them.
 CONFUSIONS = [
@@ -232,6 +232,8 @@ def _bare(x: str) -> str:
 
 
 _RING = 2**31 - 1
+#: Up to so many rows of a few numbers each are sent to the texts, more meet them by a shuffled join.
+SMALL_TABLE = 500_000
 #: Up to so many corrections are looked up where pages are read; more are joined.
 SMALL_CORRECTIONS = 100_000
 
@@ -267,6 +269,15 @@ def _page_words(lines: list[str], skip: set[int]) -> tuple[list[tuple[int, str]]
     return words, breaks, first, open_
 
 
+def _may_hold(text: str, words: set[str]) -> bool:
+    """Whether any word that :func:`_page_words` can read from a text is among ``words``; each different token is looked at once."""
+    for x in set(text.lower().split()):
+        w = _bare(x)
+        if w in words or x in words or x[:-1] in words or ("-" in x and any(p in words for y in (w, x, x[:-1]) for p in _parts(y))):
+            return True
+    return False
+
+
 def _parts(word: str) -> list[str]:
     return [p for p in re.split("[-‐/]", word) if p]
 
@@ -286,8 +297,9 @@ def page_evidence(pages: DataFrame) -> DataFrame:
             rows = []
             for paper, page, number, text, skip in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words, breaks, first, open_ = _page_words(text.split("\n"), set(skip or ()))
-                for _, w in words:
-                    counts[w] += 1
+                found = [w for _, w in words]
+                counts.update(found)
+                for w in found:
                     if "-" in w or "‐" in w:
                         counts.update(_parts(w))
                 rows += [("break", tail, None, paper, number, page, i, j, head) for i, tail, j, head in breaks]
@@ -383,7 +395,7 @@ class Repair:
         beside = self.numbers.filter("beside").join(self.headers, ["page_id", "line_no"], "left_semi")  # else it is a numbered heading or prose
         self.numbers = self.numbers.filter("not beside").unionByName(beside)
         flagged = self.numbers.select("page_id", "line_no").unionByName(self.headers).groupBy("page_id").agg(F.collect_set("line_no").alias("skip"))  # at most four a page
-        self.marked = self.pages.join(flagged, "page_id", "left")
+        self.marked = self.pages.join(broadcast_if_small(stage(flagged, "flagged"), SMALL_TABLE), "page_id", "left")  # the texts stay where they are
         evidence = stage(page_evidence(self.marked), "evidence")
         self.counts = stage(evidence.filter("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n")).withColumn("hash", F.when(F.length("word") <= 40, anagram_of(F.col("word")))), "counts")
         self.broken = stage(broken_words(evidence, self.counts), "broken")
@@ -405,6 +417,8 @@ class Repair:
             for batch in batches:
                 rows = set()
                 for page, text, skip in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if fixes is not None and not _may_hold(text, fixes):
+                        continue
                     words, breaks, _, open_ = _page_words(text.split("\n"), set(skip or ()))
                     words += [(i, t[:-1]) for i, t, _, _ in breaks] + [(j, h) for _, _, j, h in breaks] + ([(open_[0], open_[1][:-1])] if open_ else [])
                     for i, w in set(words):
