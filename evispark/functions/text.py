@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 #: Line ends: \r\n counts as one.
 EOL = r"\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}"
+#: Citations, identities and the heading of references.
 CITATION = r"\[(\d+(?:\s*[,–-]\s*\d+)*)\]"
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 REFERENCES = r"(?im)^\s{0,3}#{0,6}\s*references\s*$"
@@ -166,13 +167,14 @@ SECTION_RULES = [
     (r"\bdiscussion\b", "discussion"),
     (r"\b(references|bibliography|acknowledge?ments?|appendix|supplementary|associated content|author information|funding|conflicts? of interest|notes)\b", "other"),
 ]
+#: Numbers of sections.
 SECTION_NUMBER = r"(?:[A-Z]\.)?\d{1,2}(?:\.\d{1,2}){0,3}"
 
 
-def classify_title(title: Column | str, parent: Column | None = None) -> Column:
-    """Section type of a title: by name, by word, else the parent's, else methods."""
+def named_type(title: Column | str) -> Column:
+    """Section type of a title by its name, else by the first rule that a word of it fits, else null."""
     t = normalize_text(title)
-    out = F.coalesce(parent, F.lit("methods")) if parent is not None else F.lit("methods")
+    out = F.lit(None).cast("string")
     for rule, kind in reversed(SECTION_RULES):
         out = F.when(t.rlike(rule), F.lit(kind)).otherwise(out)
     names: dict[str, list[str]] = {}
@@ -181,3 +183,8 @@ def classify_title(title: Column | str, parent: Column | None = None) -> Column:
     for kind, found in names.items():
         out = F.when(t.isin(*found), F.lit(kind)).otherwise(out)
     return out
+
+
+def classify_title(title: Column | str, parent: Column | None = None) -> Column:
+    """:func:`named_type`, else the parent's type, else methods."""
+    return F.coalesce(named_type(title), parent if parent is not None else F.lit("methods"), F.lit("methods"))

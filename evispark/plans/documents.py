@@ -106,14 +106,38 @@ HITS = _LINES + rf""",
 hits AS (SELECT paper_id, page_id, page_number, line_no, start_char, title, {classify_sql('title')} AS section_type FROM (
   SELECT b.*, regexp_replace(bare, '^{_NUM}\.?\s+', '') AS title FROM bare b WHERE regexp_matches(bare, '(?i)^(?:{_NUM}\.?\s+)?(?:{_NAMES})$')
     AND NOT EXISTS (SELECT 1 FROM running r WHERE r.paper_id = b.paper_id AND r.line = b.bare)))"""
-_SECTIONS = HITS + """,
-sizes AS (SELECT paper_id, page_id, page_number, coalesce(length(text), 0) AS n_chars FROM pages),
+_INTERVALS = """,
+sizes AS (SELECT paper_id, page_number, max(coalesce(length(text), 0)) AS n_chars FROM pages GROUP BY 1, 2),
 ends AS (SELECT paper_id, min(page_number) AS first_page, max(page_number) AS last_page, arg_max(n_chars, page_number) AS last_chars FROM sizes GROUP BY 1),
 ordered AS (SELECT h.*, lead(page_number) OVER w AS next_page, lead(start_char) OVER w AS next_char, row_number() OVER w AS pos FROM hits h WINDOW w AS (PARTITION BY paper_id ORDER BY page_number, start_char)),
 sections AS (
-  SELECT o.paper_id, o.pos, title, section_type, o.page_number AS page_start, start_char, coalesce(next_page, last_page) AS page_end, CASE WHEN next_page = o.page_number THEN next_char ELSE n_chars END AS end_char, 0.75::DOUBLE AS confidence
-  FROM ordered o JOIN sizes s USING (page_id) JOIN ends e ON e.paper_id = o.paper_id
+  SELECT o.paper_id, o.pos, title, section_type, o.page_number AS page_start, start_char, coalesce(next_page, last_page) AS page_end, CASE WHEN next_page = o.page_number THEN next_char ELSE n_chars END AS end_char, CONFIDENCE AS confidence
+  FROM ordered o JOIN ends e ON e.paper_id = o.paper_id JOIN sizes s ON s.paper_id = o.paper_id AND s.page_number = coalesce(next_page, last_page)
   UNION ALL SELECT paper_id, 1, 'Full Text', 'other', first_page, 0, last_page, last_chars, 0.3 FROM ends WHERE paper_id NOT IN (SELECT paper_id FROM hits))"""
+_SECTIONS = HITS + _INTERVALS.replace("CONFIDENCE", "0.75::DOUBLE")
+_TITLE = lambda x: f"(length({x}) BETWEEN 1 AND 90 AND len(list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')) <= 12 AND regexp_matches({x}, '^\\p{{Lu}}') AND NOT regexp_matches({x}, '[.,;:]$') AND length(regexp_replace({x}, '[^\\p{{L}}]', '', 'g')) >= 0.6 * length(replace({x}, ' ', '')))"
+_PLAUSIBLE = lambda x: f"coalesce(try_cast(nullif(regexp_extract({x}, '^(?:[A-Z]\\.)?(\\d+)', 1), '') AS INT) BETWEEN 1 AND 20, false)"
+_SOLID = r"[^\s\x0b\x1c-\x1f\x85\p{Z}]"
+_NUMBERED = rf"^({_NUM})\.?{WS}+({_SOLID}.*)$"
+_BODY = lambda x: f"coalesce(len(list_filter(regexp_split_to_array({x}, '{WS}+'), lambda w: w <> '')) >= 5 OR {_PLAUSIBLE(f"coalesce(nullif(regexp_extract({x}, '{_NUMBERED}', 1), ''), nullif(regexp_extract({x}, '^({_NUM})\\.?$', 1), ''))")}, false)"
+_NAMED = lambda t: classify_sql(t).replace("ELSE 'methods' END", "END")
+#: All headings from the rules of the survey: each line's kind, types level by level, one heading a place.
+_ALL_HITS = _LINES + rf""",
+seen AS (SELECT *, first_value(nullif(bare, '') IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS f1, first_value(nullif(bare, '') IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY line_no ROWS BETWEEN 2 FOLLOWING AND UNBOUNDED FOLLOWING) AS f2,
+  lead(bare) OVER (PARTITION BY page_id ORDER BY line_no) AS nx, lead(start_char) OVER (PARTITION BY page_id ORDER BY line_no) AS nx_start, regexp_replace(bare, '^[■▪]{WS}*', '') AS plain FROM bare),
+parts AS (SELECT *, nullif(regexp_extract(plain, '{_NUMBERED}', 1), '') AS num, nullif(regexp_extract(plain, '{_NUMBERED}', 2), '') AS num_title, nullif(regexp_extract(plain, '^({_NUM})\.?$', 1), '') AS lone FROM seen WHERE bare <> ''),
+kinds AS (SELECT *, CASE WHEN regexp_matches(plain, '(?i)^(?:{_NUM}\.?{WS}+)?(?:{_NAMES})$') THEN 'known' WHEN regexp_matches(plain, '(?i)^abstract{WS}*[:.—–-]{WS}*{_SOLID}') THEN 'abstract' WHEN regexp_matches(bare, '^[■▪]') AND {_TITLE('plain')} THEN 'bullet'
+  WHEN regexp_matches(plain, '^[IVX]{{1,5}}\.\s+[A-Z][A-Z0-9 ,&:/\-–]+$') AND {_BODY('f1')} THEN 'roman' WHEN {_PLAUSIBLE('num')} AND coalesce({_TITLE('num_title')}, false) AND {_BODY('f1')} THEN 'numbered' WHEN {_PLAUSIBLE('lone')} AND coalesce({_TITLE('nx')}, false) AND {_BODY('f2')} THEN 'next' END AS kind FROM parts),
+found AS (SELECT paper_id, page_id, page_number, line_no AS lno, CASE WHEN kind = 'next' THEN nx_start ELSE start_char END AS start_char, CASE WHEN kind = 'next' THEN nx ELSE bare END AS b, kind,
+  CASE kind WHEN 'known' THEN regexp_replace(plain, '(?i)^{_NUM}\.?{WS}+', '') WHEN 'abstract' THEN 'Abstract' WHEN 'bullet' THEN plain WHEN 'roman' THEN regexp_replace(plain, '^[IVX]{{1,5}}\.\s+', '') WHEN 'numbered' THEN num_title ELSE nx END AS title,
+  CASE WHEN kind IN ('known', 'numbered') THEN num WHEN kind = 'roman' THEN regexp_extract(plain, '^([IVX]+)', 1) WHEN kind = 'next' THEN lone END AS number FROM kinds WHERE kind IS NOT NULL),
+t0 AS (SELECT f.*, len(string_split(regexp_replace(number, '^[A-Z]\.', ''), '.')) - 1 AS depth, {_NAMED('title')} AS own FROM found f WHERE NOT EXISTS (SELECT 1 FROM running r WHERE r.paper_id = f.paper_id AND r.line = f.b)),
+t1 AS (SELECT *, CASE WHEN coalesce(depth, 0) = 0 THEN coalesce(own, 'methods') ELSE own END AS ty FROM t0),
+""" + ",\n".join(
+    rf"t{k + 1} AS (SELECT a.* REPLACE (CASE WHEN ty IS NULL AND depth = {k} THEN coalesce((SELECT arg_max(b.ty, b.page_number::BIGINT * 1000000 + b.lno) FROM t{k} b WHERE b.paper_id = a.paper_id AND b.number = regexp_replace(a.number, '\.[^.]*$', '') AND b.page_number::BIGINT * 1000000 + b.lno < a.page_number::BIGINT * 1000000 + a.lno AND b.ty IS NOT NULL), 'methods') ELSE ty END AS ty) FROM t{k} a)"
+    for k in (1, 2, 3)
+) + """,
+hits AS (SELECT DISTINCT ON (page_id, start_char) paper_id, page_id, page_number, start_char, title, ty AS section_type, CASE kind WHEN 'known' THEN 0.75 WHEN 'abstract' THEN 0.7 WHEN 'bullet' THEN 0.7 ELSE 0.6 END::DOUBLE AS confidence FROM t4 ORDER BY page_id, start_char, lno)"""
 _CHUNK = r""",
 walk(page_id, n, s, e) AS (
   SELECT page_id, length(text), 0, CASE WHEN length(text) <= 1500 THEN length(text) ELSE cut(text, 0) END FROM pages WHERE text <> ''
@@ -150,6 +174,7 @@ SQL = {
     "running_headers": f"WITH {_LINES} SELECT * FROM running",
     "known_headings": f"WITH {HITS} SELECT page_id, page_number, start_char, title, section_type FROM hits",
     "section_intervals": f"WITH {_SECTIONS} SELECT * FROM sections",
+    "detect_sections": f"WITH {_ALL_HITS}{_INTERVALS.replace('CONFIDENCE', 'o.confidence')} SELECT * FROM sections",
     "chunk_section_tag": f"WITH RECURSIVE {_SECTIONS}{_CHUNKS}{_TAGGED} SELECT page_id, page_number, start_char, end_char, section_title, section_type FROM tagged",
     "chunk_section_match": f"WITH RECURSIVE {_SECTIONS}{_CHUNKS}{_TAGGED}, m AS (SELECT t.page_id, t.start_char, s.pos AS section_pos, row_number() OVER (PARTITION BY t.page_id, t.start_char ORDER BY s.start_char DESC NULLS LAST, s.pos NULLS LAST) AS n FROM tagged t LEFT JOIN sections s ON s.paper_id = t.paper_id AND t.page_number BETWEEN s.page_start AND s.page_end AND (s.title = t.section_title OR s.section_type = t.section_type)) SELECT page_id, start_char, section_pos FROM m WHERE n = 1",
     "chunk_gold_asof": f"WITH RECURSIVE {HITS}{_CHUNKS}, c AS (SELECT *, page_number::BIGINT * 1000000000 + start_char AS at FROM chunks), h AS (SELECT paper_id, section_type, page_number::BIGINT * 1000000000 + start_char AS at FROM hits) SELECT c.page_id, c.start_char, coalesce(h.section_type, 'other') AS governing FROM c ASOF LEFT JOIN h ON c.paper_id = h.paper_id AND c.at >= h.at",

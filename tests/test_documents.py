@@ -72,3 +72,22 @@ def test_a_chunk_above_a_heading_gets_the_pages_later_section(spark):
     chunks = spark.createDataFrame([("p", "g1", 1, 10), ("p", "g2", 2, 0), ("p", "g2", 2, 60), ("q", "g3", 1, 0)], "paper_id string, page_id string, page_number int, start_char int")
     got = {(r.page_id, r.start_char): r.section_title for r in C.tag_chunks(chunks, sections).collect()}
     assert got == {("g1", 10): "A", ("g2", 0): "B", ("g2", 60): "B", ("g3", 0): None}
+
+
+def test_a_number_and_its_title_are_one_heading(spark):
+    _, rows = titles(spark, "1\nIntroduction\nIt began with a question of scale.\n\n2.\nRelated work\n3\nOur Idea\nWe had the idea on a long walk.")
+    assert [(r.title, r.start_char) for r in rows] == [("Introduction", 2), ("Related work", 54), ("Our Idea", 69)]
+
+
+def test_a_bulleted_name_counts_as_a_name(spark):
+    _, rows = titles(spark, "■ Methods\nWe did what we could do here.\n■ Own Tools\nThe tools are made by us.")
+    assert [(r.title, r.section_type, r.confidence) for r in rows] == [("Methods", "methods", 0.75), ("Own Tools", "methods", 0.7)]
+
+
+def test_a_number_alone_counts_as_a_heading_that_follows(spark):
+    assert titles(spark, "2 Big Models\n2.1\nTheir Size\nThe size of them is what matters here.")[0] == [("Big Models", "methods"), ("Their Size", "methods")]
+
+
+def test_a_section_ends_where_the_page_of_the_next_one_ends(spark):
+    _, rows = titles(spark, "Abstract\nshort", "Methods\n" + "x" * 100, "tail")
+    assert [(r.page_end, r.end_char) for r in rows] == [(2, 108), (3, 4)]
