@@ -116,12 +116,6 @@ def format_authors(authors: Column | str) -> Column:
     return F.when(F.coalesce(F.size(_c(authors)), F.lit(0)) <= 0, F.lit("Unknown authors")).otherwise(F.regexp_replace(F.array_join(_c(authors), ", "), r"\.+$", ""))
 
 
-def format_reference(authors: Column | str, year: Column | str, title: Column | str, file_name: Column | str) -> Column:
-    """``Authors. (year). Title.`` with n.d. and the file's name where something is missing."""
-    name = F.coalesce(F.nullif(_c(title), F.lit("")), F.regexp_replace(_c(file_name), r"\.[^.]+$", ""), F.lit("Untitled"))
-    return F.concat(format_authors(authors), F.lit(". ("), F.coalesce(_c(year).cast("string"), F.lit("n.d.")), F.lit("). "), F.regexp_replace(clean_reference_title(name), r"\.+$", ""), F.lit("."))
-
-
 def file_stem(name: Column | str) -> Column:
     return F.regexp_replace(_c(name), r"\.[^.]+$", "")
 
@@ -135,17 +129,19 @@ def is_filename_title(title: Column | str, file_name: Column | str) -> Column:
 def is_internal_title(title: Column | str) -> Column:
     """Titles that writing programs leave behind."""
     t = F.lower(trim_ws(title))
+    # fixed values: titles of writing programs
     junk = ["no job name", "untitled", "untitled document", "untitled-1", "(no title)", "adobe pdf"]
     return t.isin(*junk) | t.startswith("microsoft word - ") | t.rlike(r"\d+\.\.\d+") | t.rlike(r"^[a-z]{1,4}\d+[a-z]?(?:\s+\d+\.\.\d+)?$")
 
 
 def metadata_from_name(name: Column | str) -> dict[str, Column]:
-    """authors, year and title of a file called ``authors-YEAR-title``; without a year the whole name is the title."""
-    stem = trim_ws(F.regexp_replace(F.regexp_replace(_c(name), r"(?i)\.(?:pdf|txt|md)$", ""), "_", " "))
+    """authors, year and title of a file called ``authors-YEAR-title``; without a year, or a title behind it, the whole name is the title."""
+    stem = collapse_ws(F.regexp_replace(F.regexp_replace(_c(name), r"(?i)\.(?:pdf|txt|md)$", ""), "_", " "))
     cut = r"^(.*?)(?:^|[\s-])((?:19|20)\d{2})(?:[\s-]|$)(.*)$"
     has = stem.rlike(r"(?:^|[\s-])(?:19|20)\d{2}(?:[\s-]|$)")
     edge = lambda c: F.nullif(F.regexp_replace(c, r"^[ \-_,]+|[ \-_,]+$", ""), F.lit(""))
-    return {"authors_text": F.when(has, edge(F.regexp_extract(stem, cut, 1))), "year": F.when(has, F.regexp_extract(stem, cut, 2).cast("int")), "title": F.when(has, edge(F.regexp_extract(stem, cut, 3))).otherwise(edge(stem))}
+    whole = F.nullif(stem, F.lit(""))
+    return {"authors_text": F.when(has, edge(F.regexp_extract(stem, cut, 1))), "year": F.when(has, F.regexp_extract(stem, cut, 2).cast("int")), "title": F.when(has, F.coalesce(edge(F.regexp_extract(stem, cut, 3)), whole)).otherwise(whole)}
 
 
 #: Section types by exact title.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evispark.functions.bylines import parse_authors
 from evispark.functions.text import UUID, clean_reference_title, format_authors, metadata_from_name, strip_control
 from evispark.operators.provenance import links, live_claims, title_of
 
@@ -98,10 +99,11 @@ def error_message(body: Column | str) -> Column:
 
 def improved_reference(line: Column) -> Column:
     """A reference line of unknown authors and year, with what its title tells as a file's name; other lines stay."""
+    # fixed value: a line of unknown authors
     pattern = r"^(-\s*)?(\[\d+\]\s+)Unknown authors\. \(n\.d\.\)\. (.+?)\.?$"
     raw = F.regexp_extract(line, pattern, 3)
     named = metadata_from_name(raw)
-    authors = F.when(named["authors_text"].isNotNull(), F.split(named["authors_text"], r"\s*(?:,|;|&|\band\b)\s*"))
+    authors = parse_authors(named["authors_text"])
     better = F.concat(F.regexp_extract(line, pattern, 1), F.regexp_extract(line, pattern, 2), format_authors(authors), F.lit(". ("), F.coalesce(named["year"].cast("string"), F.lit("n.d.")), F.lit("). "), clean_reference_title(F.coalesce(named["title"], raw)), F.lit("."))
     return F.when(line.rlike(pattern) & (named["authors_text"].isNotNull() | named["year"].isNotNull()), better).otherwise(line)
 

@@ -61,8 +61,25 @@ def test_stable_ids_are_uuid5(spark):
     assert [r.u for r in got] == [str(uuid.uuid5(ids.NAMESPACE, f"chunk:{i}")) for i in range(20)]
 
 
-def test_bylines():
-    page = "A study of\nlong titles\nJ. Smith, A. B. Jones* and C. Li\nUniversity of X\nReceived 2004"
-    assert bylines.first_page_metadata(page) == ("A study of long titles", ["J. Smith", "A. B. Jones", "C. Li"], 2004)
-    assert bylines.split_authors("Smith et al") == ["Smith et al"] and bylines.split_authors("Ann Bob Cem") == ["Ann", "Bob", "Cem"] and bylines.split_authors(None) == []
-    assert bylines.first_page_metadata(None) == (None, [], None) and not bylines.is_byline("Department of Physics, A. Smith")
+def first(spark, page):
+    return tuple(spark.createDataFrame([(page,)], "t string").select(*[c.alias(k) for k, c in bylines.first_page_metadata("t").items()]).first())
+
+
+def test_first_pages(spark):
+    assert first(spark, "A study of\nlong titles\nJ. Smith, A. B. Jones* and C. Li\nUniversity of X\nReceived 2004") == ("A study of long titles", ["J. Smith", "A. B. Jones", "C. Li"], 2004)
+    assert first(spark, "Eﬃcient Search\nAnna Bell, Carl Dorn,\nEve Fox and Gus Hill\nIda Jones") == ("Efficient Search", ["Anna Bell", "Carl Dorn", "Eve Fox", "Gus Hill"], None)
+    assert first(spark, "J. Smith and A. Jones\nin 1999") == (None, [], 1999)  # a byline on the first line has no title before it
+    assert first(spark, None) == (None, [], None) and first(spark, "") == (None, [], None)
+
+
+@pytest.mark.parametrize(
+    ("by", "authors"),
+    [("Smith et al", ["Smith et al"]), ("Ann Bob Cem", ["Ann", "Bob", "Cem"]), (None, []), (" ", []), ("A.Smith1,2 & B.Jones†", ["A. Smith", "2", "B. Jones"]), ("Smith and Li", ["Smith", "Li"]), ("one Two", ["one Two"])],
+)
+def test_authors(spark, by, authors):
+    assert one(spark, bylines.parse_authors, by) == authors
+
+
+@pytest.mark.parametrize(("document", "text", "best"), [("Untitled", "Real", "Real"), ("Good", "Other", "Good"), (None, "T", "T"), ("Untitled", None, "Untitled"), ("", "", None)])
+def test_best_title(spark, document, text, best):
+    assert spark.createDataFrame([(document, text)], "d string, t string").select(bylines.best_title(F.col("d"), F.col("t")).alias("r")).first()["r"] == best
