@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from evispark.functions.encoding import json_number, json_object, json_text
+
 #: Our own namespace for name-based identities.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:evispark")
 
@@ -28,5 +30,21 @@ def request_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
+def call_key(model: Column, kind: Column, prompt_version: Column, temperature: Column, instructions: Column, text: Column) -> Column:
+    """SHA-256 of the canonical JSON of a call's six fields; a file's name takes the first 24 digits."""
+    fields = {"model": json_text(model), "text_format": json_text(kind), "prompt_version": json_text(prompt_version), "temperature": json_number(temperature), "instructions": json_text(instructions), "input_text": json_text(text)}
+    return F.sha2(json_object(fields), 256)
+
+
+def agent_key(model: Column, messages: Column, tools: Column) -> Column:
+    """SHA-256 of the canonical JSON of an agent's turn; ``messages`` and ``tools`` are JSON text."""
+    return F.sha2(json_object({"model": json_text(model), "messages": messages, "tools": tools}), 256)
+
+
+def claim_ids(key: Column, claims: Column) -> Column:
+    """The identities of the claims of a chunk by their places: ``stable_id("claim", key:index)``, from 0."""
+    return F.transform(claims, lambda _, i: stable_id("claim", F.concat(key, F.lit(":"), i.cast("string"))))
+
+
 def paper_key(number: Column) -> Column:
     return F.format_string("P%03d", number)

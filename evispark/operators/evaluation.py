@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +69,29 @@ def compare_metrics(current: DataFrame, baseline: DataFrame, directions: dict[st
     return rows.select("metric", "value", "base", status.alias("status"))
 
 
+#: The settings that two reports must have in common to be compared.
+CONFIG_KEYS = ("snapshot_fingerprint", "models", "judge_model", "n_chunks", "seed", "scenarios", "agent_cases", "prompt_versions")
+
+
 def config_mismatches(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """(key, here, there) of the settings (key, value) that differ; a missing one differs from any value."""
+    """(key, here, there) of the settings (key, value) among CONFIG_KEYS that differ; a missing one differs from any value."""
     rows = current.select("key", F.col("value").alias("here")).join(baseline.select("key", F.col("value").alias("there")), "key", "full_outer")
-    return rows.filter(~F.col("here").eqNullSafe(F.col("there")))
+    return rows.filter(F.col("key").isin(*CONFIG_KEYS) & ~F.col("here").eqNullSafe(F.col("there")))
+
+
+#: Fixed value: what only live calls have, which is no quality.
+UNGATED = ("latency_mean_s",)
+
+
+def gated_metrics(summaries: DataFrame, directions: DataFrame) -> DataFrame:
+    """(metric, value, better) with metric as ``model/stage/key`` of summaries (model, stage, key, value): those with a direction (stage, key, better)."""
+    rows = summaries.join(F.broadcast(directions), ["stage", "key"]).filter(~F.col("key").isin(*UNGATED))
+    return rows.select(F.concat_ws("/", "model", "stage", "key").alias("metric"), F.col("value").cast("double").alias("value"), "better")
+
+
+def infra_errors(cases: DataFrame) -> DataFrame:
+    """(case_id, error) of the errors of kind infra, nested ones too: ``cases`` is (case_id, errors array of (kind, error))."""
+    return cases.select("case_id", F.explode("errors").alias("e")).filter("e.kind = 'infra'").select("case_id", "e.error")
 
 
 def support_verdict(checks: Column) -> Column:
@@ -89,21 +105,6 @@ def faithfulness(unsupported: Column, total: Column) -> Column:
     return F.when((total == 0) | (2 * unsupported >= total), "unfaithful").when(unsupported == 0, "faithful").otherwise("partial")
 
 
-def trajectory_checks(calls: DataFrame, must: list[str], must_not: list[str], order: list[tuple[str, str]], max_calls: int) -> DataFrame:
-    """Per case of (case_id, pos, name): one column for each check, and whether all passed.
-
-    An order (a, b) holds if the first a comes before the first b, or b never comes.
-    """
-    names = sorted({*must, *must_not, *(x for pair in order for x in pair)})
-    first = [F.min(F.when(F.col("name") == n, F.col("pos"))).alias(f"_{i}") for i, n in enumerate(names)]
-    at = {n: F.col(f"_{i}") for i, n in enumerate(names)}
-    rows = calls.groupBy("case_id").agg(F.count("*").alias("n_calls"), *first)
-    checks = {"calls_needed": [at[n].isNotNull() for n in must], "calls_forbidden": [at[n].isNull() for n in must_not], "in_order": [at[b].isNull() | F.coalesce(at[a] < at[b], F.lit(False)) for a, b in order], "few_calls": [F.col("n_calls") <= max_calls]}
-    every = lambda cs: F.lit(True) if not cs else reduce(and_, cs)
-    rows = rows.select("case_id", "n_calls", *[every(cs).alias(k) for k, cs in checks.items()])
-    return rows.withColumn("passed", every([F.col(k) for k in checks]))
-
-
 def usage(calls: DataFrame, group: str, tokens: str, cost: str, latency: str) -> DataFrame:
     """Per group: calls, tokens, cost (null if any call has none) and mean latency."""
     total = F.when(F.count(cost) == F.count("*"), F.round(F.sum(cost), 6))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evispark.functions.text import is_filename_title, is_internal_title, metadata_from_name
-from evispark.staging import stage
+from evispark.staging import broadcast_if_small, stage
 
 
 def dedupe_by_content(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -96,3 +96,35 @@ def backfill_metadata(papers: DataFrame) -> DataFrame:
     weak = is_filename_title("title", "file_name") | F.coalesce(is_internal_title("title"), F.lit(True))
     rows = papers.select("paper_id", F.col("title").alias("old_title"), F.col("year").alias("old_year"), F.when(weak, F.coalesce(named["title"], F.col("title"))).otherwise(F.col("title")).alias("title"), F.coalesce("year", named["year"]).alias("year"))
     return rows.select("paper_id", "title", "year", (~(F.col("title").eqNullSafe(F.col("old_title")) & F.col("year").eqNullSafe(F.col("old_year")))).alias("changed"))
+
+
+def overlaid_metadata(papers: DataFrame, known: DataFrame) -> DataFrame:
+    """``papers`` with title, authors and year of ``known`` (file_name, ...) for the files that are known there; what is empty there stays as it was."""
+    k = known.dropDuplicates(["file_name"]).select("file_name", F.nullif("title", F.lit("")).alias("_title"), F.when(F.size("authors") > 0, F.col("authors")).alias("_authors"), F.col("year").alias("_year"))
+    rows = papers.join(k, "file_name", "left")
+    for c in ("title", "authors", "year"):
+        rows = rows.withColumn(c, F.coalesce(f"_{c}", c))
+    return rows.select(*papers.columns)
+
+
+def merged(primary: dict[str, Column], fallback: dict[str, Column]) -> dict[str, Column]:
+    """title, authors and year of two sources, field by field; an empty text or list counts as missing."""
+    text = lambda c: F.nullif(c, F.lit(""))
+    some = lambda c: F.when(F.size(c) > 0, c)
+    return {"title": F.coalesce(text(primary["title"]), text(fallback["title"])), "authors": F.coalesce(some(primary["authors"]), some(fallback["authors"])), "year": F.coalesce(primary["year"], fallback["year"])}
+
+
+def in_paper_order(rows: DataFrame, papers: DataFrame) -> DataFrame:
+    """Sampled chunks back in the order of their papers (paper_id, number), pages and places."""
+    return rows.join(broadcast_if_small(papers.select("paper_id", "number")), "paper_id", "left").orderBy(F.col("number").asc_nulls_last(), "page_start", "start_char", "chunk_id").drop("number")
+
+
+def overview(papers: DataFrame, structure: DataFrame, newest: int = 20) -> DataFrame:
+    """The ``newest`` papers with their authors as one text and the counts of :func:`paper_structure`."""
+    rows = papers.dropDuplicates(["paper_id"]).orderBy(F.col("created_at").desc_nulls_last(), "paper_id").limit(newest)
+    return rows.select("paper_id", "title", F.array_join("authors", ", ").alias("authors")).join(structure, "paper_id")
+
+
+def responses_in_order(responses: DataFrame, group: str, index: str, value: str) -> DataFrame:
+    """(group, values): a batch's answers by their index, whatever order they came in."""
+    return responses.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(index, value)))[value].alias("values"))

@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from evispark.functions.ids import NAMESPACE, request_key, stable_id, text_key
-from evispark.functions.similarity import lexical_coverage, similarity
-from evispark.functions.text import body_before_references, body_sentences, cited_numbers, content_words
+from evispark.functions.text import body_before_references, body_sentences, content_words
 from evispark.operators import evaluation as E
 from evispark.operators import validation as V
 from evispark.operators.alignment import align_sentences
-from evispark.operators.provenance import draft_markdown, links, live_claims, normalize_support, sentence_support
+from evispark.operators.provenance import draft_markdown, normalize_support, sentence_support
 from evispark.operators.quotes import locate_exact, locate_quotes, span_matches
 from evispark.operators.replay import misses, replay
-from evispark.operators.sections import find_headings, named_headings
 from evispark.staging import stage, table
 
 
@@ -40,10 +37,17 @@ def span_overlap_match(spark, d):
 
 
 def gold_summary(spark, d):
-    m = stage(span_overlap_match(spark, d), "matches")
+    """Gold claims and candidates by their verbatim spans, both ways: micro recall and precision, F1 of the rounded two."""
+    gold = stage(_claims(spark, d).select(F.col("claim_id").alias("gold_id"), "chunk_id", "claim_type", "start_char", "end_char"), "gold")
+    found = stage(quote_locate_exact(spark, d), "found")
+    m = span_matches(gold, found)
+    back = span_matches(found.withColumnRenamed("candidate_id", "gold_id"), gold)
     n, hit = F.count("*"), F.sum(F.col("matched").cast("bigint"))
-    agree = F.sum(F.col("type_agrees").cast("bigint"))
-    return m.agg(n.alias("gold"), hit.alias("matched"), E.rate(hit, n).alias("recall"), E.rate(agree, hit).alias("type_agreement")).withColumn("f1", E.f1(F.col("type_agreement"), F.col("recall")))
+    a = m.agg(n.alias("gold"), hit.alias("matched"), E.rate(hit, n).alias("recall"), E.rate(F.sum(F.col("type_agrees").cast("bigint")), hit).alias("type_agreement"))
+    total = _candidates(spark, d).filter("candidate_id is not null").join(table(spark, d, "text_chunks").filter("chunk_id is not null").select("chunk_id").distinct(), "chunk_id", "left_semi").agg(F.count("*").alias("predicted"))
+    b = back.agg(F.sum(F.col("matched").cast("bigint")).alias("predicted_matched"))
+    row = a.join(F.broadcast(b)).join(F.broadcast(total)).withColumn("precision", E.rate(F.col("predicted_matched"), F.col("predicted")))  # single rows
+    return row.withColumn("f1", E.f1(F.col("precision"), F.col("recall")))
 
 
 def claims_summary(spark, d):
@@ -60,24 +64,6 @@ def claim_types(spark, d):
     return E.most_common(_candidates(spark, d), "claim_type")
 
 
-def synthesis_summary(spark, d):
-    s = table(spark, d, "syntheses").dropDuplicates(["synthesis_id"])
-    known = live_claims(table(spark, d, "extracted_claims")).withColumn("known", F.lit(1))
-    l = links(s, "synthesis_id").select("record_id", "claim_id").distinct().join(known, "claim_id", "left")
-    per = l.groupBy("record_id").agg(F.sum(F.col("known").isNull().cast("int")).alias("invented"), F.countDistinct("paper_id").alias("papers"), F.countDistinct(F.when(F.col("known").isNotNull(), F.col("claim_id"))).alias("claims"))
-    rows = s.join(per, s["synthesis_id"] == per["record_id"], "left").na.fill(0, ["invented", "papers", "claims"])
-    wrong = ~(F.col("supporting_papers").eqNullSafe(F.col("papers")) & F.col("supporting_claims").eqNullSafe(F.col("claims")))
-    return rows.groupBy("synthesis_type").agg(F.count("*").alias("syntheses"), E.share(F.col("invented") > 0).alias("invented_rate"), E.share(F.col("claims") == 0).alias("unsupported_rate"), E.share(F.col("papers") > 1).alias("multi_paper_rate"), E.share(wrong).alias("count_mismatch_rate"))
-
-
-def review_summary(spark, d):
-    """Shares per draft, then the mean over drafts, rounded at both places."""
-    s = table(spark, d, "review_sentences").dropDuplicates(["sentence_id"])
-    rows = s.join(sentence_support(s, table(spark, d, "extracted_claims")).withColumnRenamed("is_supported", "real"), "sentence_id")
-    per = rows.groupBy("review_draft_id").agg(E.share(F.col("real")).alias("supported"), E.share(F.col("phantom")).alias("phantom"), E.share(F.col("is_supported").eqNullSafe(F.col("real"))).alias("flag_true"))
-    return per.agg(F.count("*").alias("drafts"), *[F.round(F.avg(c), 3).alias(f"{c}_mean") for c in ("supported", "phantom", "flag_true")])
-
-
 def _verdicts(spark, d):
     s = table(spark, d, "review_sentences").dropDuplicates(["sentence_id"])
     named = lambda c: F.when(c, "supported").when(~c, "unsupported")
@@ -102,12 +88,6 @@ def usage_summary(spark, d):
     return E.usage(events, "event_type", "tokens", "cost", "value")
 
 
-def trajectory_checks(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    calls = table(spark, d, "events").select(F.col("user_id").alias("case_id"), F.row_number().over(w).alias("pos"), F.col("event_type").alias("name"))
-    return E.trajectory_checks(calls, ["view"], ["error"], [("view", "purchase"), ("signup", "click")], 80)
-
-
 def first_mentions(spark, d):
     """References to claims that no earlier sentence of their draft names."""
     s = table(spark, d, "review_sentences").dropDuplicates(["sentence_id"])
@@ -122,13 +102,6 @@ def word_overlap(spark, d):
     return rows.filter("b is not null and size(a) > 0").select("claim_id", both.alias("shared"), (both >= 0.6 * F.size("a")).alias("reported"))
 
 
-def invalid_citations(spark, d):
-    """Per page the numbers cited beyond 40, and those up to 40 that aren't cited."""
-    rows = table(spark, d, "paper_pages").dropDuplicates(["page_id"]).select("page_id", cited_numbers("text").alias("n"))
-    valid = F.sequence(F.lit(1), F.lit(40))
-    return rows.select("page_id", F.array_join(F.array_except("n", valid), ",").alias("invalid"), F.size(F.array_except(valid, "n")).alias("uncited"))
-
-
 def _by_model(spark, d, low):
     c = _candidates(spark, d).filter((F.col("confidence") < 0.5) if low else (F.col("confidence") >= 0.5))
     return c.groupBy("model").agg(F.count("*").alias("claims"), F.round(F.avg("confidence"), 6).alias("confidence"), E.share(F.col("claim_type") == "finding").alias("findings"))
@@ -143,12 +116,6 @@ def gate_compare(spark, d):
     return E.compare_metrics(now, before, {"confidence": "up", "findings": "down"}, 0.02)
 
 
-def config_mismatch(spark, d):
-    sizes = lambda t: table(spark, d, t).agg(F.count("*").cast("string").alias("rows"), F.lit("0").alias("seed"))
-    flat = lambda t: sizes(t).unpivot([], ["rows", "seed"], "key", "value")
-    return E.config_mismatches(flat("syntheses"), flat("review_sentences"))
-
-
 def validate_constraints(spark, d):
     return V.violations(table(spark, d, "text_chunks"), V.chunk_rules()).unionByName(V.violations(table(spark, d, "extracted_claims"), V.claim_rules()))
 
@@ -190,13 +157,6 @@ def replay_misses(spark, d):
     return misses(_requests(spark, d), _recordings(spark, d))
 
 
-def claim_fidelity(spark, d):
-    """How close each claim's text is to the text at its places on the page."""
-    pages = table(spark, d, "paper_pages").dropDuplicates(["page_id"]).select("paper_id", F.col("page_number").alias("page"), "text")
-    rows = _claims(spark, d).join(pages, ["paper_id", "page"]).withColumn("span", F.expr("substring(text, start_char + 1, end_char - start_char)"))
-    return rows.select("claim_id", F.round(similarity("claim_text", "span"), 3).alias("similarity"), F.round(lexical_coverage("claim_text", "span"), 3).alias("coverage"))
-
-
 def sentence_alignment(spark, d):
     s = table(spark, d, "review_sentences").dropDuplicates(["sentence_id"])
     body = draft_markdown(s).select("review_draft_id", F.explode(body_sentences(body_before_references("markdown"))).alias("sentence"))
@@ -204,16 +164,6 @@ def sentence_alignment(spark, d):
     return align_sentences(s, body, "review_draft_id")
 
 
-def heading_metrics(spark, d):
-    """Headings found in full search against the named ones: precision, recall, agreement of types."""
-    p = table(spark, d, "paper_pages")
-    found = find_headings(p).select("page_id", "start_char", F.col("section_type").alias("found"))
-    gold = named_headings(p).select("page_id", "start_char", F.col("section_type").alias("gold"))
-    rows = stage(found.join(gold, ["page_id", "start_char"], "full_outer"), "headings")
-    both = F.sum((F.col("found").isNotNull() & F.col("gold").isNotNull()).cast("bigint"))
-    return rows.agg(F.count("found").alias("detected"), F.count("gold").alias("gold"), E.rate(both, F.count("found")).alias("precision"), E.rate(both, F.count("gold")).alias("recall"), E.rate(F.sum((F.col("found") == F.col("gold")).cast("bigint")), both).alias("type_accuracy"))
-
-
 _W = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 _BASE = """
 WITH cand AS (SELECT DISTINCT ON (candidate_id) * FROM claim_candidates WHERE candidate_id IS NOT NULL), cl AS (SELECT DISTINCT ON (claim_id) * FROM extracted_claims), ch AS (SELECT DISTINCT ON (chunk_id) * FROM text_chunks WHERE chunk_id IS NOT NULL),
@@ -236,35 +186,31 @@ _RULES = {
     "text_chunks": {"chunk_start": "start_char >= 0", "chunk_span": "end_char > start_char", "chunk_pages": "page_end >= page_start", "chunk_type": f"section_type IN {V.SECTION_TYPES}", "chunk_length": "length(text) = end_char - start_char"},
     "extracted_claims": {"claim_confidence": "confidence BETWEEN 0 AND 1", "claim_type": f"claim_type IN {V.CLAIM_TYPES}", "claim_start": "start_char >= 0", "claim_span": "end_char > start_char"},
 }
-_CITE = r"\[(?:\d+(?:\s*[,–-]\s*\d+)*)\]"
 _WORDS = lambda c: f"list_distinct(list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda x: length(x) > 3))"
 
 QUERIES = {
     f.__name__: f
     for f in (
-        quote_locate_exact, quote_locate, span_overlap_match, gold_summary, claims_summary, claim_types, synthesis_summary, review_summary, verdict_rates, confusion_matrix, cohen_kappa, usage_summary, trajectory_checks, first_mentions, word_overlap, invalid_citations,
-        metrics_unpivot, gate_compare, config_mismatch, validate_constraints, validate_locations, repeated_keys, stable_ids, text_keys, request_keys, replay_join, replay_misses, claim_fidelity, sentence_alignment, heading_metrics,
+        quote_locate_exact, quote_locate, span_overlap_match, gold_summary, claims_summary, claim_types, verdict_rates, confusion_matrix, cohen_kappa, usage_summary, first_mentions, word_overlap,
+        metrics_unpivot, gate_compare, validate_constraints, validate_locations, repeated_keys, stable_ids, text_keys, request_keys, replay_join, replay_misses, sentence_alignment,
     )
 }
 SQL = {
     "quote_locate_exact": _EXACT + " SELECT * FROM exact",
     "span_overlap_match": _MATCH + " SELECT * FROM matches",
-    "gold_summary": _MATCH + ", s AS (SELECT count(*) AS gold, count(*) FILTER (matched) AS matched, round(count(*) FILTER (matched) / count(*), 3) AS recall, round(count(*) FILTER (type_agrees) / nullif(count(*) FILTER (matched), 0), 3) AS type_agreement FROM matches) SELECT *, CASE WHEN type_agreement > 0 AND recall > 0 THEN round(2 * type_agreement * recall / (type_agreement + recall), 3) END AS f1 FROM s",
+    "gold_summary": _MATCH + """, back AS (SELECT p.candidate_id, max(CASE WHEN least(g.end_char - g.start_char, p.end_char - p.start_char) > 0 THEN round((least(g.end_char, p.end_char) - greatest(g.start_char, p.start_char)) / least(g.end_char - g.start_char, p.end_char - p.start_char), 9) ELSE 0 END) AS o FROM exact p JOIN cl g ON p.chunk_id = g.chunk_id AND p.start_char < g.end_char AND p.end_char > g.start_char GROUP BY 1),
+s AS (SELECT count(*) AS gold, count(*) FILTER (matched) AS matched, round(count(*) FILTER (matched) / count(*), 3) AS recall, round(count(*) FILTER (type_agrees) / nullif(count(*) FILTER (matched), 0), 3) AS type_agreement, (SELECT count(*) FROM back WHERE o >= 0.5) AS predicted_matched, (SELECT count(*) FROM cand JOIN ch USING (chunk_id)) AS predicted FROM matches),
+t AS (SELECT *, round(predicted_matched / predicted, 3) AS precision FROM s) SELECT *, CASE WHEN precision > 0 AND recall > 0 THEN round(2 * precision * recall / (precision + recall), 3) END AS f1 FROM t""",
     "claims_summary": _EXACT + " SELECT model, count(*) AS claims, count(DISTINCT chunk_id) AS chunks, round(count(*) / count(DISTINCT chunk_id), 3) AS claims_per_chunk, round(avg((candidate_id IN (SELECT candidate_id FROM exact))::INT), 3) AS verbatim_rate, round(avg(coalesce(normalized_text <> '', false)::INT), 3) AS normalized_rate, round(avg((confidence BETWEEN 0 AND 1)::INT), 3) AS confidence_valid, round(avg(confidence), 3) AS confidence_mean FROM cand GROUP BY 1",
     "claim_types": _BASE + ", n AS (SELECT claim_type AS value, count(*) AS n FROM cand GROUP BY 1) SELECT *, row_number() OVER (ORDER BY n DESC, value) AS rank FROM n",
-    "synthesis_summary": _BASE + ", l AS (SELECT DISTINCT synthesis_id, claim_id FROM (SELECT synthesis_id, unnest(supporting_claim_ids) AS claim_id FROM syn) WHERE claim_id <> ''), p AS (SELECT synthesis_id, count(*) FILTER (c.claim_id IS NULL) AS invented, count(DISTINCT paper_id) AS papers, count(DISTINCT c.claim_id) AS claims FROM l LEFT JOIN claims c USING (claim_id) GROUP BY 1), r AS (SELECT s.*, coalesce(invented, 0) AS i, coalesce(papers, 0) AS p, coalesce(claims, 0) AS c FROM syn s LEFT JOIN p USING (synthesis_id)) SELECT synthesis_type, count(*) AS syntheses, round(avg((i > 0)::INT), 3) AS invented_rate, round(avg((c = 0)::INT), 3) AS unsupported_rate, round(avg((p > 1)::INT), 3) AS multi_paper_rate, round(avg((supporting_papers IS DISTINCT FROM p OR supporting_claims IS DISTINCT FROM c)::INT), 3) AS count_mismatch_rate FROM r GROUP BY 1",
-    "review_summary": _REAL + ", per AS (SELECT review_draft_id, round(avg(real::INT), 3) AS s, round(avg(phantom::INT), 3) AS p, round(avg((is_supported IS NOT DISTINCT FROM real)::INT), 3) AS f FROM sup GROUP BY 1) SELECT count(*) AS drafts, round(avg(s), 3) AS supported_mean, round(avg(p), 3) AS phantom_mean, round(avg(f), 3) AS flag_true_mean FROM per",
     "verdict_rates": _REAL + " SELECT count(predicted) AS judged, count(*) - count(predicted) AS skipped, round(count(*) FILTER (predicted = 'supported') / count(predicted), 3) AS supported, round(count(*) FILTER (predicted = 'unsupported') / count(predicted), 3) AS unsupported FROM ver",
     "confusion_matrix": _REAL + " SELECT label, predicted, count(*) AS n FROM ver WHERE label IS NOT NULL AND predicted IS NOT NULL GROUP BY 1, 2",
     "cohen_kappa": _REAL + ", v AS (SELECT * FROM ver WHERE label IS NOT NULL AND predicted IS NOT NULL), a AS (SELECT label AS k, count(*) AS na FROM v GROUP BY 1), b AS (SELECT predicted AS k, count(*) AS nb FROM v GROUP BY 1), t AS (SELECT count(*) AS n, count(*) FILTER (label = predicted) / count(*) AS po, (SELECT sum(na::DOUBLE * nb) FROM a JOIN b USING (k)) / (count(*)::DOUBLE * count(*)) AS pe FROM v) SELECT n, round(po, 3) AS accuracy, CASE WHEN pe < 1 THEN round((po - pe) / (1 - pe), 3) END AS kappa FROM t",
     "usage_summary": "SELECT event_type, count(*) AS calls, sum((props ->> '$.k')::BIGINT)::BIGINT AS tokens, CASE WHEN event_type <> 'error' THEN round(sum(value), 6) END AS cost, round(avg(value), 3) AS latency_mean FROM events GROUP BY 1",
-    "trajectory_checks": "WITH p AS (SELECT user_id AS case_id, event_type AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events), f AS (SELECT case_id, count(*) AS n_calls, min(pos) FILTER (name = 'view') AS v, min(pos) FILTER (name = 'error') AS e, min(pos) FILTER (name = 'purchase') AS b, min(pos) FILTER (name = 'signup') AS s, min(pos) FILTER (name = 'click') AS c FROM p GROUP BY 1), x AS (SELECT case_id, n_calls, v IS NOT NULL AS calls_needed, e IS NULL AS calls_forbidden, (b IS NULL OR coalesce(v < b, false)) AND (c IS NULL OR coalesce(s < c, false)) AS in_order, n_calls <= 80 AS few_calls FROM f) SELECT *, calls_needed AND calls_forbidden AND in_order AND few_calls AS passed FROM x",
     "first_mentions": _BASE + ", r AS (SELECT review_draft_id, section_title, sentence_index, sentence_id, unnest(list_distinct(list_filter(supporting_claim_ids, lambda c: c <> ''))) AS claim_id FROM sen) SELECT review_draft_id, claim_id, arg_min(sentence_id, ROW(section_title, sentence_index, sentence_id)) AS sentence_id, count(*) AS mentions FROM r GROUP BY 1, 2",
     "word_overlap": _BASE + f", w AS (SELECT claim_id, {_WORDS('claim_text')} AS a, {_WORDS('normalized_text')} AS b FROM cl WHERE normalized_text IS NOT NULL) SELECT claim_id, len(list_intersect(a, b)) AS shared, len(list_intersect(a, b)) >= 0.6 * len(a) AS reported FROM w WHERE len(a) > 0",
-    "invalid_citations": rf"WITH pages AS (SELECT DISTINCT ON (page_id) page_id, text FROM paper_pages), g AS (SELECT page_id, unnest(flatten(list_transform(regexp_extract_all(text, '{_CITE}'), lambda x: string_split(x, ',')))) AS part FROM pages), e AS (SELECT page_id, list_transform(regexp_extract_all(part, '\d+'), lambda x: try_cast(x AS INT)) AS ends FROM g), n AS (SELECT DISTINCT page_id, unnest(range(ends[1], ends[len(ends)] + 1)) AS k FROM e) SELECT p.page_id, coalesce((SELECT string_agg(k::VARCHAR, ',' ORDER BY k) FROM n WHERE n.page_id = p.page_id AND k NOT BETWEEN 1 AND 40), '') AS invalid, 40 - (SELECT count(*) FROM n WHERE n.page_id = p.page_id AND k BETWEEN 1 AND 40) AS uncited FROM pages p",
     "metrics_unpivot": _GATE + " SELECT metric, value FROM u WHERE low",
     "gate_compare": _GATE + ", c AS (SELECT * FROM u WHERE NOT low), b AS (SELECT * FROM u WHERE low), j AS (SELECT coalesce(c.metric, b.metric) AS metric, coalesce(c.name, b.name) AS name, c.value, b.value AS base, c.metric IS NULL AS gone, b.metric IS NULL AS fresh FROM c FULL JOIN b ON c.metric = b.metric), g AS (SELECT *, CASE WHEN name = 'confidence' THEN value - base ELSE base - value END AS gain FROM j WHERE name IN ('confidence', 'findings')) SELECT metric, value, base, CASE WHEN gone THEN 'missing' WHEN fresh THEN 'new' WHEN base IS NULL THEN 'ok' WHEN value IS NULL OR gain < -0.02 THEN 'regressed' WHEN gain > 0.02 THEN 'improved' ELSE 'ok' END AS status FROM g",
-    "config_mismatch": "SELECT 'rows' AS key, (SELECT count(*)::VARCHAR FROM syntheses) AS here, (SELECT count(*)::VARCHAR FROM review_sentences) AS there WHERE (SELECT count(*) FROM syntheses) <> (SELECT count(*) FROM review_sentences)",
     "validate_constraints": " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) FILTER (NOT ({c})) AS n_violations, count(*) AS n_rows FROM {t}" for t, rules in _RULES.items() for k, c in rules.items()),
     "validate_locations": _BASE + ", x AS (SELECT claim_id, CASE WHEN k.chunk_id IS NULL THEN 'no chunk' WHEN NOT (c.page BETWEEN page_start AND page_end) THEN 'other page' WHEN c.start_char < k.start_char OR c.end_char > k.end_char THEN 'outside' END AS problem FROM cl c LEFT JOIN ch k ON k.chunk_id = c.chunk_id) SELECT * FROM x WHERE problem IS NOT NULL",
     "repeated_keys": "SELECT claim_id, count(*) AS n FROM extracted_claims GROUP BY 1 HAVING count(*) > 1",

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from evispark.functions.bylines import first_pages, merged_metadata
-from evispark.plans.documents import EOL, WS
+from evispark.operators.ingestion import ingest
+from evispark.plans.documents import _ALL_HITS, _CHUNKS, _INTERVALS, EOL, WS
 from evispark.plans.provenance import authors_sql
 from evispark.sources.snapshots import fingerprint
 from evispark.staging import shared_dir, table
@@ -18,6 +19,19 @@ def first_page_metadata(spark, d):
     return first_pages(table(spark, d, "paper_pages")).withColumn("authors", F.array_join("authors", "|"))
 
 
+def ingest_papers(spark, d):
+    """All papers ingested twice into empty tables; what the tables hold then."""
+    at = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    papers = table(spark, d, "papers")
+    for _ in range(2):
+        ingest(papers, table(spark, d, "paper_pages").filter("paper_id is not null"), at)
+    count = lambda t, n: spark.read.parquet(f"{at}/{t}.parquet").groupBy("paper_id").agg(F.count("*").alias(n))
+    rows = spark.read.parquet(f"{at}/papers.parquet").select("paper_id")
+    for t, n in (("paper_pages", "n_pages"), ("sections", "n_sections"), ("text_chunks", "n_chunks")):
+        rows = rows.join(count(t, n), "paper_id", "left")
+    return rows.na.fill(0, ["n_pages", "n_sections", "n_chunks"])
+
+
 def stream_ingest(spark, d):
     """All documents through a stream, file by file, into a table of distinct contents."""
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -41,7 +55,7 @@ def paper_metadata(spark, d):
     return merged_metadata(table(spark, d, "papers"), table(spark, d, "paper_pages")).withColumn("authors", F.array_join("authors", "|"))
 
 
-QUERIES = {"first_page_metadata": first_page_metadata, "stream_ingest": stream_ingest, "events_per_day": events_per_day, "snapshot_fingerprint": snapshot_fingerprint, "paper_metadata": paper_metadata}
+QUERIES = {"first_page_metadata": first_page_metadata, "stream_ingest": stream_ingest, "events_per_day": events_per_day, "snapshot_fingerprint": snapshot_fingerprint, "paper_metadata": paper_metadata, "ingest_papers": ingest_papers}
 _CLEAN = lambda x: f"nullif(regexp_replace(regexp_replace({x}, '{WS}+', ' ', 'g'), '^ | $', '', 'g'), '')"
 _PLAIN = lambda x: f"translate(replace(replace(replace(replace(replace({x}, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '−‐‑‒–—', '------')"
 _AFFILIATION = lambda x: "(" + " OR ".join(f"contains(lower({x}), '{m}')" for m in ("abstract", "department", "university", "institute", "college", "school", "state key laboratory", "cnrs", "supporting information", "received", "revised", "keywords")) + f" OR trim({x}) IN ('*', '■'))"
@@ -60,6 +74,7 @@ first AS (SELECT paper_id, CASE WHEN i > 1 THEN {_CLEAN("array_to_string(ls[1:i
 _INTERNAL = r"(low IN ('no job name', 'untitled', 'untitled document', 'untitled-1', '(no title)', 'adobe pdf') OR starts_with(low, 'microsoft word - ') OR regexp_matches(low, '\d+\.\.\d+') OR regexp_matches(low, '^[a-z]{1,4}\d+[a-z]?(?:\s+\d+\.\.\d+)?$'))"
 _HASH = "('0x' || substr(sha256(concat_ws(chr(31), {})), 1, 12))::BIGINT"
 SQL = {
+    "ingest_papers": f"WITH RECURSIVE {_ALL_HITS}{_INTERVALS.replace('CONFIDENCE', 'o.confidence')}{_CHUNKS} SELECT p.paper_id, coalesce(a, 0) AS n_pages, coalesce(b, 0) AS n_sections, coalesce(c, 0) AS n_chunks FROM (SELECT min(paper_id) AS paper_id FROM papers WHERE file_sha256 IS NOT NULL GROUP BY file_sha256) p LEFT JOIN (SELECT paper_id, count(*) AS a FROM pages GROUP BY 1) USING (paper_id) LEFT JOIN (SELECT paper_id, count(*) AS b FROM sections GROUP BY 1) USING (paper_id) LEFT JOIN (SELECT paper_id, count(*) AS c FROM chunks GROUP BY 1) USING (paper_id)",
     "first_page_metadata": _FIRST + " SELECT paper_id, title, array_to_string(authors, '|') AS authors, year FROM first",
     "paper_metadata": _FIRST + rf", f AS (SELECT paper_id, min(title) AS tt, min(authors) AS ta, min(year) AS ty FROM first GROUP BY 1), p AS (SELECT *, nullif(title, '') AS dt, lower(regexp_replace(title, '^{WS}+|{WS}+$', '', 'g')) AS low FROM papers) SELECT p.paper_id, CASE WHEN nullif(tt, '') IS NOT NULL AND (dt IS NULL OR {_INTERNAL}) THEN tt ELSE coalesce(dt, nullif(tt, '')) END AS title, array_to_string(CASE WHEN len(p.authors) > 0 THEN p.authors ELSE coalesce(ta, []) END, '|') AS authors, coalesce(ty, p.year) AS year FROM p LEFT JOIN f USING (paper_id)",
     "snapshot_fingerprint": f"WITH h AS (SELECT {_HASH.format('paper_id, page_number::VARCHAR, text')} AS h FROM (SELECT DISTINCT ON (page_id) * FROM paper_pages) UNION ALL SELECT {_HASH.format('chunk_id, text')} FROM (SELECT DISTINCT ON (chunk_id) * FROM text_chunks)) SELECT substr(sha256(sum(h)::VARCHAR || ':' || count(*)), 1, 16) AS fingerprint FROM h",

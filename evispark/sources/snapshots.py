@@ -56,10 +56,3 @@ def answers(recordings: DataFrame, kind: str, column: str = "parsed") -> DataFra
     """``recordings`` with ``answer`` parsed to the kind's structure, null and ``error`` set where it doesn't fit."""
     parsed = F.from_json(column, ANSWERS[kind])
     return recordings.withColumn("answer", parsed).withColumn("error", F.when(F.col(column).isNull() | parsed.isNull(), F.lit("unreadable answer")))
-
-
-def latest_report(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of the report whose path sorts last, calibrations aside."""
-    rows = spark.read.option("multiLine", True).json(f"{folder}/*/report.json").withColumn("path", F.input_file_name()).filter(~F.col("path").contains("/calibration"))
-    last = rows.agg(F.max("path").alias("path"))
-    return rows.join(F.broadcast(last), "path").drop("path")  # a single row

@@ -39,10 +39,12 @@ def test_comparison(spark):
     assert got == {"m/a": "regressed", "m/b": "improved", "m/c": "ok", "m/d": "ok", "m/n": "new", "m/g": "missing"}
 
 
-def test_trajectories(spark):
-    calls = spark.createDataFrame([("x", 1, "find"), ("x", 2, "draft"), ("y", 1, "draft"), ("y", 2, "find"), ("z", 1, "find")], "case_id string, pos int, name string")
-    got = {r.case_id: (r.calls_needed, r.in_order, r.passed) for r in E.trajectory_checks(calls, ["find"], ["drop"], [("find", "draft")], 2).collect()}
-    assert got == {"x": (True, True, True), "y": (True, False, False), "z": (True, True, True)}
+def test_settings_and_gated_metrics(spark):
+    a, b = (spark.createDataFrame(x, "key string, value string") for x in ([("seed", "0"), ("n_chunks", "5"), ("other", "x")], [("seed", "0"), ("n_chunks", "6"), ("models", "m")]))
+    assert {tuple(r) for r in E.config_mismatches(a, b).collect()} == {("n_chunks", "5", "6"), ("models", None, "m")}
+    rows = spark.createDataFrame([("m", "s", "up_rate", 0.5), ("m", "s", "latency_mean_s", 1.0), ("m", "s", "count", 3.0)], "model string, stage string, key string, value double")
+    directions = spark.createDataFrame([("s", "up_rate", "up"), ("s", "latency_mean_s", "down")], "stage string, key string, better string")
+    assert [tuple(r) for r in E.gated_metrics(rows, directions).collect()] == [("m/s/up_rate", 0.5, "up")]
 
 
 def test_alignment(spark):
