@@ -11,9 +11,7 @@ The final similarities are taken in double precision, pair by pair.
 
 from __future__ import annotations
 
-import base64
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from evispark.functions.encoding import half_precision
 from evispark.staging import broadcast_if_small, stage
 
 #: Numbers in a vector of each model: fixed values.
@@ -43,23 +42,6 @@ _PLANES: dict[int, np.ndarray] = {}
 REPEATS = 8
 
 
-def decode_vector(value: str | None, size: int) -> bytes | None:
-    """The half-precision bytes of ``value``, or None unless, line breaks aside, it is base64 of ``size`` finite numbers, not all zero."""
-    if value is None:
-        return None
-    value = re.sub(r"[\r\n]", "", value)
-    if len(value) != 4 * -(-2 * size // 3):
-        return None
-    try:
-        raw = base64.b64decode(value, validate=True)
-    except ValueError:
-        return None
-    if len(raw) != 2 * size:
-        return None
-    x = np.frombuffer(raw, dtype="<f2")
-    return raw if np.isfinite(x).all() and x.any() else None
-
-
 def _direction(raw: bytes) -> bytes:
     """The value but for a power of two: vectors that are equal in this have exactly equal cosines with all others."""
     x = np.frombuffer(raw, dtype="<f2").astype(np.float64)
@@ -81,7 +63,7 @@ def readable_vectors(recordings: DataFrame, dimensions: dict[str, int] = DIMENSI
         for batch in batches:
             keep, vec, h = [], [], []
             for i, (model, value) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                raw = decode_vector(value, dimensions[model])
+                raw = half_precision(value, dimensions[model])
                 if raw is not None:
                     keep.append(i), vec.append(raw), h.append(xxhash.xxh64_intdigest(_direction(raw)))
             at = pa.array(keep, pa.int32())

@@ -22,7 +22,7 @@ def brute(rows, k=10):
     for model, size in V.DIMENSIONS.items():
         seen = {}
         for i, m, v in rows:
-            if m == model and i is not None and (raw := V.decode_vector(v, size)):
+            if m == model and i is not None and (raw := V.half_precision(v, size)):
                 seen.setdefault(i, np.frombuffer(raw, "<f2").astype(np.float64))
         ids = sorted(seen)
         for a in ids:
@@ -44,9 +44,9 @@ def found(spark, rows):
 
 def test_readable_values():
     good = b64(np.ones(768))
-    assert V.decode_vector(b64(np.ones(768), True), 768) == V.decode_vector(good, 768) is not None
+    assert V.half_precision(b64(np.ones(768), True), 768) == V.half_precision(good, 768) is not None
     for bad in (None, "", good[:-4], "é" + good[1:], good[:-1] + "*", b64(np.zeros(768)), b64(np.full(768, np.inf)), b64([np.nan] * 768), b64(np.ones(1536)), " " + good):
-        assert V.decode_vector(bad, 768) is None
+        assert V.half_precision(bad, 768) is None
 
 
 def test_small_tables_are_exact(spark):
