@@ -2,9 +2,9 @@
 
 Every span of 200 characters holds 145 windows of 56; of each such row of windows the one with the least
 hash is an anchor (winnowing), so two texts that share 200 characters share an anchor there, and one window
-in about 73 is kept. The index is a log of runs: each batch of texts writes its anchors once, sorted, and
-no run is ever changed; a batch is matched by a join of its anchors with those of all runs, and runs are compacted
-into one when there are many.
+in about 73 is kept. The index is a log of runs: each batch of texts writes its anchors once, as a table in buckets of the hash, sorted within each, and
+no run is ever changed. A batch is merge-joined with each run, bucket by bucket: its own hashes are shuffled once, when they are written, and the
+history is read where it lies, never shuffled or sorted again. Runs are compacted into one when there are many.
 
 What a text shares is the union of its 200-character grams that stand in another text too. Each such gram lies in
 the context of a shared anchor (144 characters to both sides). Contexts that are the same in two texts
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evispark.staging import drop_path, shared_dir, stage
+from evispark.staging import drop_path, shared_dir, shuffle_partitions, stage
 
 MIN_CHARS = 200
 WINDOW = 56
@@ -136,33 +137,45 @@ def anchors(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> Dat
 
 
 class SpanIndex:
-    """The log of runs in a folder; runs are Parquet, each task's part sorted by hash, and never change."""
+    """The log of runs in a folder: tables in buckets of the hash, sorted within each bucket, that never change.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, max_runs: int = 8) -> None:
+    All runs have the same number of ``buckets``, so a run and a batch meet without an exchange of the run.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, max_runs: int = 8, buckets: int | None = None) -> None:
         self.spark, self.max_runs = spark, max_runs
         self.path = path or f"{shared_dir(spark)}/spans-{uuid.uuid4().hex}"
+        self.buckets = buckets or shuffle_partitions(spark)
         self.runs: list[str] = []
 
+    def _write(self, rows: DataFrame) -> str:
+        name = f"spans_{uuid.uuid4().hex}"
+        rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/{name}").format("parquet").saveAsTable(name)
+        return name
+
     def append(self, batch: DataFrame) -> DataFrame:
         """Write the anchors of a batch as the newest run and give it back."""
         if len(self.runs) >= self.max_runs:
             self.compact()
-        self.runs.append(f"{self.path}/{uuid.uuid4().hex}")
-        batch.sortWithinPartitions("h").write.parquet(self.runs[-1])
-        return self.spark.read.schema(batch.schema).parquet(self.runs[-1])
+        self.runs.append(self._write(batch))
+        return self.read(self.runs[-1])
 
-    def read(self) -> DataFrame:
-        return self.spark.read.schema("h bigint, c bigint, d bigint, p int, n int").parquet(*self.runs)
+    def read(self, run: str) -> DataFrame:
+        return self.spark.table(run)
 
     def compact(self) -> None:
-        """Merge all runs into one that is sorted by ranges of the hash; the old ones go afterwards."""
-        old, self.runs = self.runs, [f"{self.path}/{uuid.uuid4().hex}"]
-        merged = self.spark.read.schema("h bigint, c bigint, d bigint, p int, n int").parquet(*old)
-        merged.repartitionByRange("h").sortWithinPartitions("h", "d", "p").write.parquet(self.runs[0])
-        for path in old:
-            drop_path(self.spark, path)
+        """Merge all runs into one; the old ones go afterwards."""
+        old = self.runs
+        self.runs = [self._write(reduce(DataFrame.unionByName, [self.read(r) for r in old]))]
+        self._drop(old)
+
+    def _drop(self, runs: list[str]) -> None:
+        for name in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            drop_path(self.spark, f"{self.path}/{name}")
 
     def drop(self) -> None:
+        self._drop(self.runs)
         drop_path(self.spark, self.path)
 
 
@@ -258,11 +271,25 @@ def _edge_intervals(contexts: DataFrame) -> DataFrame:
     return usual.unionByName(hot)
 
 
-def _spans_of_batch(rows: DataFrame, fresh: DataFrame, docs: DataFrame, hot_contexts: int) -> DataFrame:
-    """(d, s, e): parts shared through anchors of the newest run ``fresh``; ``rows`` are all runs, that one among them."""
-    new = fresh.groupBy("h").agg(F.min("d").alias("d0"))
-    seen = rows.groupBy("h").agg(F.min("d").alias("d0"), F.max("d").alias("d1")).filter("d0 <> d1")
-    shared = stage(rows.join(seen.join(new.select("h"), "h", "left_semi").select("h"), "h", "left_semi"), "anchors")
+def _shared_anchors(index: SpanIndex, fresh: DataFrame) -> DataFrame:
+    """The anchors of ``fresh`` that stand in another document, of that run or an earlier one, and theirs there.
+
+    Each run is merge-joined with the hashes of the newest one; only what meets leaves its run.
+    """
+    own = fresh.groupBy("h").agg(F.min("d").alias("d0"), F.max("d").alias("d1"))
+    met = [index.read(r).join(own.select("h").hint("merge"), "h", "left_semi") for r in index.runs[:-1]]
+    if not met:
+        return fresh.join(own.filter("d0 <> d1").select("h").hint("merge"), "h", "left_semi")
+    old = stage(reduce(DataFrame.unionByName, met), "met")
+    both = old.groupBy("h").agg(F.min("d").alias("e0"), F.max("d").alias("e1"))
+    seen = own.join(both.hint("shuffle_merge"), "h", "left").filter("d0 <> d1 or e0 <> e1 or e0 <> d0").select("h")
+    seen = stage(seen, "seen")
+    return fresh.join(seen.hint("merge"), "h", "left_semi").unionByName(old.join(seen, "h", "left_semi"))
+
+
+def _spans_of_batch(index: SpanIndex, fresh: DataFrame, docs: DataFrame, hot_contexts: int) -> DataFrame:
+    """(d, s, e): parts shared through anchors of the newest run ``fresh`` of the index."""
+    shared = stage(_shared_anchors(index, fresh), "anchors")
     groups = shared.groupBy("h", "c").agg(F.min(F.struct("d", "p")).alias("rep"), F.max("d").alias("d1"))
     groups = stage(groups.select("h", "c", "rep.d", "rep.p", (F.col("rep.d") != F.col("d1")).alias("multi")), "contexts")
     whole = shared.join(groups.filter("multi").select("h", "c"), ["h", "c"], "left_semi")
@@ -297,7 +324,11 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     return rows.groupBy("d", "part").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("part")
 
 
-def shared_spans(docs: DataFrame, key: str = "doc_id", text_col: str = "text", batches: int = 2, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
+#: Batches in which documents come to the index, and runs that it holds before it is compacted: the third batch finds the first two as one run.
+BATCHES, MAX_RUNS = 3, 2
+
+
+def shared_spans(docs: DataFrame, key: str = "doc_id", text_col: str = "text", batches: int = BATCHES, hot_contexts: int = HOT_CONTEXTS, max_runs: int = MAX_RUNS) -> DataFrame:
     """(doc_id, start_char, end_char): the parts of each text that spans of 200 characters or more share with another document.
 
     Documents come in ``batches`` to the index, as they would day by day, and each is matched with all before it.
@@ -305,12 +336,13 @@ def shared_spans(docs: DataFrame, key: str = "doc_id", text_col: str = "text", b
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("bigint").alias("d"), F.col(text_col).alias("text")).filter(F.col("d").isNotNull() & (F.length("text") >= MIN_CHARS))
-    index, found = SpanIndex(spark), None
+    index, found = SpanIndex(spark, max_runs=max_runs), None
     for i in range(batches):
         part = rows.filter(F.pmod(F.xxhash64("d"), F.lit(batches)) == i)
         fresh = index.append(anchors(part, "d"))
-        new = stage(_spans_of_batch(index.read(), fresh, rows, hot_contexts), "spans")
+        new = stage(_spans_of_batch(index, fresh, rows, hot_contexts), "spans")
         found = new if found is None else found.unionByName(new)
+    index.drop()
     return merge_spans(found.distinct()).select(F.col("d").cast(docs.schema[key].dataType).alias(key), F.col("s").alias("start_char"), F.col("e").alias("end_char"))
 
 
