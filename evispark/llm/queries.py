@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm.mixing import mix_shares, mix_sources, sized_documents
+from evispark.llm.mixing import mix_checks, mix_shares, mix_sources, sized_documents
 from evispark.llm.near import alike_groups, alike_pairs
 from evispark.llm.scans import Repair
 from evispark.llm.spans import shared_shares, shared_spans
@@ -73,6 +73,27 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_shares(sized_documents(table(spark, sf_dir, "documents"), targets), targets)
 
 
+#: Tokens of each mix of p7_budget.
+BUDGET = 1_000_000
+
+
+def p7_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached within a budget."""
+    targets = table(spark, sf_dir, "mixture_targets")
+    return mix_shares(sized_documents(table(spark, sf_dir, "documents"), targets), targets, BUDGET)
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for the mixture of each mix."""
+    targets = table(spark, sf_dir, "mixture_targets")
+    return mix_checks(sized_documents(table(spark, sf_dir, "documents"), targets), targets)
+
+
+def p7_budget_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mixture_targets")
+    return mix_checks(sized_documents(table(spark, sf_dir, "documents"), targets), targets, BUDGET)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"))
 
@@ -82,7 +103,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_shares(docs, shared_spans(docs))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_budget": p7_budget, "p7_checks": p7_checks, "p7_budget_checks": p7_budget_checks, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _LIMITED = r"""
 WITH lim AS (SELECT item_kind, lower(regexp_replace(section_type, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS st, min(max_chars) AS max_chars FROM split_limits GROUP BY 1, 2),
@@ -119,7 +140,12 @@ parts AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS pa
 SELECT doc_id, min(s) AS start_char, max(s) + 200 AS end_char FROM parts GROUP BY doc_id, part
 """
 
+#: Mixes that can have copies: those with a source that has a weight, may be taken and has a text; all checks must hold for them.
+_MIXES = "SELECT DISTINCT mix_id, true AS within_caps, true AS within_total, true AS shares_kept, true AS in_order FROM mixture_targets t WHERE target_weight > 0 AND coalesce(max_repeats, 1) > 0 AND EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND length(d.text) > 0)"
+
 SQL = {
+    "p7_checks": _MIXES,
+    "p7_budget_checks": _MIXES,
     "p1_found": _LIMITED,
     "p3_found": _ALIKE,
     "p8_found": _SHARED,

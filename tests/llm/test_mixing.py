@@ -31,17 +31,41 @@ def test_shares_are_reached_and_caps_hold(spark):
 
 def test_a_prefix_of_the_order_is_balanced(spark):
     docs = sized(spark, [(i, "a", 3) for i in range(500)] + [(1000 + i, "b", 7) for i in range(500)])
-    rows = M.mix_sources(docs, targets(spark, [("m", "a", 1.0, 1), ("m", "b", 2.0, 1)]), buckets=4).collect()
+    rows = M.mix_sources(docs, targets(spark, [("m", "a", 1.0, 1), ("m", "b", 2.0, 1)]), bucket_rows=250).collect()
     for n in (50, 200, len(rows)):
         a = sum(r.n_tokens for r in rows[:n] if r.source == "a")
         assert abs(a / sum(r.n_tokens for r in rows[:n]) - 1 / 3) < 0.05
 
 
-@pytest.mark.parametrize(("budget", "want"), [(90, (30, 60)), (10_000, (200, 100)), (200, (100, 100))])
-def test_budget(budget, want):
-    t = [{"mix_id": "m", "source": s, "weight": w, "share": 0, "cap": 1} for s, w in (("a", 1.0), ("b", 2.0))]
-    got = M.source_limits(t, {"a": 200, "b": 100}, budget)
-    assert (got["m", "a"][0], got["m", "b"][0]) == want
+@pytest.mark.parametrize(("budget", "want"), [(90, (30, 60)), (10_000, (200, 100)), (200, (100, 100)), (7, (2, 5))])
+def test_budget(spark, budget, want):
+    docs = sized(spark, [(i, "a", 1) for i in range(200)] + [(1000 + i, "b", 1) for i in range(100)])
+    t = targets(spark, [("m", "a", 1.0, 1), ("m", "b", 2.0, 1)])
+    rows = M.mix_sources(docs, t, budget).collect()
+    got = tuple(sum(r.n_tokens for r in rows if r.source == s) for s in "ab")
+    assert sum(got) == min(budget, 300) and all(abs(x - y) <= 1 for x, y in zip(got, want, strict=True))
+
+
+def test_the_merge_is_cut_at_the_total(spark):
+    docs = sized(spark, [(i, "abc"[i % 3], 1 + i * 37 % 50) for i in range(900)])
+    t = targets(spark, [("m", "a", 1.0, 2), ("m", "b", 2.0, None), ("m", "c", 5.0, 3), ("n", "a", 1.0, 1)])
+    everything = M.mix_sources(docs, t, 5000).collect()
+    for budget in (100, 3000, 40_000):
+        rows = [(r.mix_id, r.doc_id, r.repeat_no) for r in M.mix_sources(docs, t, budget).collect()]
+        want, sums = [], {}
+        for r in everything if budget < 3001 else ():
+            sums[r.mix_id] = sums.get(r.mix_id, 0) + r.n_tokens
+            if sums[r.mix_id] <= budget:
+                want.append((r.mix_id, r.doc_id, r.repeat_no))
+        assert rows == want or budget > 3000
+        got = M.mix_checks(docs, t, budget).collect()
+        assert {r.mix_id for r in got} == {"m", "n"} and all(r.within_caps and r.within_total and r.in_order for r in got)
+
+
+def test_many_repeats_are_made_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "REPEAT_BLOCK", 4)
+    rows = M.mix_sources(sized(spark, [(1, "b", 1), (2, "a", 30)]), targets(spark, [("m", "b", 1.0, None), ("m", "a", 1.0, 1)])).collect()
+    assert sorted(r.repeat_no for r in rows if r.source == "b") == list(range(1, 31))
 
 
 def test_nulls_ties_and_nothing(spark):
