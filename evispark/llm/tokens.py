@@ -5,8 +5,9 @@ merges never cross it. Words are counted with pre-aggregation per partition; eve
 stands at least twice is encoded once, in a distributed word table, and its ids are joined back by
 position. A word that stands once in the corpus is encoded where it stands, which is also once: so
 runs of text without spaces, nearly all of them unique, don't swell the table.
-The join back is a broadcast look-up while the table is below a checked size, and beyond it a
-shuffled join on (word) with a re-assembly by position.
+The join back is a broadcast look-up while the table is below a checked size. Beyond it documents go in groups of a bounded
+size, the distinct words of each group are joined with the table, and each group meets its own part of it again, where ids are put
+back by position: a word has one row a group, not one an occurrence, so frequent words are no hot keys.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 TABLE_BYTES = 64 * 2**20
 _FLUSH = 200_000
+#: A group of documents has about so many characters.
+GROUP_CHARS = 8 * 2**20
 
 
 def read_vocabulary(path: str = VOCABULARY) -> bytes:
@@ -130,28 +133,42 @@ def _with_packed(docs: DataFrame, key: str, text_col: str, vocabulary: Broadcast
 
         return docs.select(key, text_col).mapInArrow(look_up, schema)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = _splitter()
-        for batch in batches:
-            for at in range(batch.num_rows):
-                found = split(batch.column(1)[at].as_py() or "") or [None]  # a text without words keeps its row
-                yield pa.record_batch({key: pa.array([batch.column(0)[at].as_py()] * len(found), batch.column(0).type), "pos": pa.array(range(len(found)), pa.int64()), "word": pa.array(found, pa.string())})
+    return _by_groups(docs, key, text_col, words, vocabulary, finish, schema)
 
-    def encode_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary.value)
-        for batch in batches:
-            ids = [b if b is not None else _packed(encoder, w) if w is not None else b"" for w, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.record_batch({key: batch.column(0), "pos": batch.column(1), "ids": pa.array(ids, pa.binary())})
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_groups(docs: DataFrame, key: str, text_col: str, words: DataFrame, vocabulary: Broadcast, finish, schema: str) -> DataFrame:
+    """The shuffled form of the look-up: groups of documents with the part of the table that their words need."""
+    chars = docs.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("n")).first()["n"]
+    groups = max(1, -(-chars // GROUP_CHARS))
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int")
+    grouped = stage(docs.select(group.alias("_group"), F.col(key).alias("_key"), F.col(text_col).alias("_text")), "groups")
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, seen, now = _splitter(), set(), None
+
+        def out(group: int) -> pa.RecordBatch:
+            batch = pa.record_batch({"_group": pa.array([group] * len(seen), pa.int32()), "word": pa.array(seen, pa.string())})
+            seen.clear()
+            return batch
+
         for batch in batches:
-            yield finish(batch.column(0), [b"".join(x) for x in batch.column(1).to_pylist()])
+            for group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if seen and (group != now or len(seen) > _FLUSH):
+                    yield out(now)
+                now = group
+                if text:
+                    seen.update(split(text))
+        if seen:
+            yield out(now)
+
+    parts = grouped.select("_group", "_text").repartition("_group").sortWithinPartitions("_group").mapInArrow(distinct, "_group int, word string").join(words, "word")
+
+    def meet(texts: pa.Table, part: pa.Table) -> pa.Table:
+        split, ids = _splitter(), _WordIds(dict(zip(part["word"].to_pylist(), part["ids"].to_pylist(), strict=True)), _encoder(vocabulary.value))
+        packed = [b"".join(map(ids.__getitem__, split(t))) if t else b"" for t in texts["_text"].to_pylist()]
+        return pa.Table.from_batches([finish(texts["_key"].combine_chunks(), packed)])
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(key, text_col).mapInArrow(explode, f"`{key}` {kind}, pos bigint, word string")
-    rows = rows.join(words, "word", "left").select(key, "pos", "word", "ids").mapInArrow(encode_rest, f"`{key}` {kind}, pos bigint, ids binary")
-    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts")).select(key, F.col("parts.ids").alias("ids"))
-    return rows.mapInArrow(assemble, schema)
+    return grouped.groupBy("_group").cogroup(parts.groupBy("_group")).applyInArrow(meet, schema)
 
 
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text_col: str = "text", vocabulary: bytes | None = None, table_bytes: int = TABLE_BYTES) -> DataFrame:
