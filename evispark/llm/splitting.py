@@ -4,7 +4,7 @@ A text is seen as ranges of bytes. A range knows its own bytes, a halo of bytes
 the place of its first character. Every 16 pieces' length a block ends, at the best boundary before that place; as
 this boundary depends only on the text around it, the range that holds a block's end finds it, and finds the end of the block
 before again in the halo: tables of boundaries of neighbouring ranges agree, blocks are cut apart from each other, and no task walks through a
-whole text. Within a block pieces are as long as they may be: each ends at the best boundary (paragraph, sentence, line, word; the last one of the best
+whole text. Ranges count their pieces, and a prefix sum over the counts numbers them through the text. Within a block pieces are as long as they may be: each ends at the best boundary (paragraph, sentence, line, word; the last one of the best
 kind) in the latter half of its new text, else at the last one of the best kind in all of its new text, and only if there is none at its size.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evispark.staging import broadcast_if_small
+from evispark.staging import broadcast_if_small, stage
 
 RANGE_BYTES = 2**20
 BLOCK_PIECES = 16
@@ -52,7 +52,7 @@ def pieces_of_range(text: str, base: int, first: int, stop: int, total: int, max
     """(piece_no, start, end) of the pieces of the blocks that end in the characters (first, stop] of a text of ``total``.
 
     ``text`` is the part from place ``base``; it reaches back by at least :func:`_reach` (or to the text's begin). An overlap of max_chars or more
-    is brought below it. Numbers rise along the text; they are consecutive within a block, and the first block's begin with 1.
+    is brought below it. Numbers begin with 1 in each range and rise along the text.
     """
     overlap = min(max(0, overlap), max_chars - 1)
     block = BLOCK_PIECES * max_chars
@@ -60,22 +60,20 @@ def pieces_of_range(text: str, base: int, first: int, stop: int, total: int, max
     end_of = lambda m: (_cut(text, base, m * block, max_chars - overlap) or m * block) if m else 0
     out: list[tuple[int, int, int]] = []
 
-    def fill(m: int, begin: int, end: int) -> None:
-        n = m * block
+    def fill(begin: int, end: int) -> None:
         while True:
-            n += 1
             start = max(0, begin - overlap)
             if end - start <= max_chars:
-                out.append((n, start, end))
+                out.append((len(out) + 1, start, end))
                 return
             limit = start + max_chars
             begin = _cut(text, base, limit, (limit - begin) // 2) or _cut(text, base, limit, limit - begin) or limit
-            out.append((n, start, begin))
+            out.append((len(out) + 1, start, begin))
 
     for m in range(first // block + 1, min(stop // block, blocks) + 1):
-        fill(m - 1, end_of(m - 1), end_of(m))
+        fill(end_of(m - 1), end_of(m))
     if stop == total > first:
-        fill(blocks, end_of(blocks), total)
+        fill(end_of(blocks), total)
     return out
 
 
@@ -83,8 +81,14 @@ def _reach(max_chars: int) -> int:
     return (BLOCK_PIECES + 4) * max_chars + 16
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (item, max_chars, overlap, char0, n_chars, halo, body, ahead) to rows of (item, piece_no, start, end, text)."""
+_PLACED = "range_no int, piece_no bigint, start bigint, end bigint, text string"
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], count: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of (item, range_no, max_chars, overlap, char0, n_chars, halo, body, ahead) to rows of (item, range_no, piece_no, start, end, text).
+
+    Or, to ``count`` pieces only, to rows of (item, range_no, n).
+    """
     for batch in batches:
         items, col = batch.column("item"), {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "item"}
         of, no, starts, ends, texts = [], [], [], [], []
@@ -95,8 +99,20 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = col["char0"][i] - _leads(back)
             first, stop = col["char0"][i], col["char0"][i] + _leads(body)
             for k, a, b in pieces_of_range(text, base, first, stop, col["n_chars"][i], col["max_chars"][i], col["overlap"][i]):
-                of.append(i), no.append(k), starts.append(a), ends.append(b), texts.append(text[a - base : b - base])
-        yield pa.record_batch([items.take(pa.array(of, pa.int32())), pa.array(no, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(texts, pa.string())], names=["item", "piece_no", "start", "end", "text"])
+                of.append(i), no.append(k), starts.append(a), ends.append(b), texts.append("" if count else text[a - base : b - base])
+        if count:
+            yield pa.record_batch([items, batch.column("range_no"), pa.array(np.bincount(np.array(of, dtype=np.int64), minlength=batch.num_rows))], names=["item", "range_no", "n"])
+        else:
+            at = pa.array(of, pa.int32())
+            yield pa.record_batch([items.take(at), batch.column("range_no").take(at), pa.array(no, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(texts, pa.string())], names=["item", "range_no", "piece_no", "start", "end", "text"])
+
+
+def _numbered(pieces: DataFrame, counts: DataFrame) -> DataFrame:
+    """``pieces`` with numbers through the item: by ``counts`` (item, range_no, n) of the ranges of items that have several, whose prefix sums are joined by range."""
+    w = Window.partitionBy("item").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # a number a range
+    before = stage(counts.withColumn("before", F.sum("n").over(w)).filter("before > 0").select(F.col("item").alias("_item"), F.col("range_no").alias("_no"), "before"), "before")
+    rows = pieces.join(broadcast_if_small(before, 500_000), F.col("item").eqNullSafe(F.col("_item")) & (F.col("range_no") == F.col("_no")), "left")
+    return rows.select("item", (F.col("piece_no") + F.coalesce("before", F.lit(0))).alias("piece_no"), "start", "end", "text")
 
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -127,21 +143,22 @@ def text_ranges(items: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     )
     sizes = F.transform("slices", lambda s: F.length(F.regexp_replace(F.decode(s["body"], "ISO-8859-1"), "[\\x80-\\xBF]", "")).cast("bigint"))
     data = data.withColumn("sizes", sizes).withColumn("starts", F.expr("aggregate(sizes, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x)))"))
-    rows = data.select("item", "max_chars", "overlap", "n_chars", F.explode(F.arrays_zip("slices", "starts")).alias("z")).filter("z.slices is not null")
-    return rows.select("item", "max_chars", "overlap", F.col("z.starts").alias("char0"), "n_chars", "z.slices.halo", "z.slices.body", "z.slices.ahead")
+    rows = data.select("item", "max_chars", "overlap", "n_chars", F.size("slices").alias("n_ranges"), F.posexplode(F.arrays_zip("slices", "starts")).alias("range_no", "z")).filter("z.slices is not null")
+    return rows.select("item", "range_no", "n_ranges", "max_chars", "overlap", F.col("z.starts").alias("char0"), "n_chars", "z.slices.halo", "z.slices.body", "z.slices.ahead")
 
 
 def split_texts(items: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Pieces of the items whose text has more than ``max_chars`` characters.
 
     ``items`` is (item, max_chars, overlap, text), item of any type. Gives (item, piece_no, start, end, text)
-    with rising piece_no from 1 and half-open places in the text. Items without text or without a positive limit
+    with consecutive piece_no from 1 and half-open places in the text. Items without text or without a positive limit
     don't come out.
     """
     long = items.filter("max_chars > 0 and char_length(text) > max_chars").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
     kind = items.schema["item"].dataType.simpleString()
     ranges = text_ranges(long.select("item", "max_chars", "overlap", "text"), range_bytes)
-    return ranges.mapInArrow(_pieces, f"item {kind}, piece_no bigint, start bigint, end bigint, text string")
+    counts = ranges.filter("n_ranges > 1").drop("n_ranges").mapInArrow(lambda it: _pieces(it, True), f"item {kind}, range_no int, n bigint")
+    return _numbered(ranges.drop("n_ranges").mapInArrow(_pieces, f"item {kind}, {_PLACED}"), counts)
 
 
 def _section(c: Column) -> Column:
@@ -163,6 +180,14 @@ def with_limits(items: DataFrame, limits: DataFrame) -> DataFrame:
     return out.select("*", F.col("lim.max_chars").alias("max_chars"), F.col("lim.overlap").alias("overlap")).drop("lim")
 
 
+def _oversized(pages: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
+    """(item, max_chars, overlap, text) of the pages and chunks whose text is longer than their limit, once for each different content."""
+    rows = pages.select(F.lit("page").alias("item_kind"), F.col("page_id").alias("item_id"), F.lit(None).cast("string").alias("section_type"), F.lit(0).cast("bigint").alias("base"), "text")
+    rows = rows.unionByName(chunks.select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "section_type", F.col("start_char").cast("bigint").alias("base"), "text"))
+    rows = with_limits(rows, limits).filter("char_length(text) > max_chars").withColumn("digest", F.sha2("text", 256)).dropDuplicates(["item_kind", "item_id", "section_type", "base", "digest"])
+    return rows.select(F.struct("item_kind", "item_id", "section_type", "base", "digest").alias("item"), "max_chars", "overlap", "text")
+
+
 def oversized_pieces(pages: DataFrame, chunks: DataFrame, limits: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Pieces of all oversized pages and chunks.
 
@@ -170,20 +195,39 @@ def oversized_pieces(pages: DataFrame, chunks: DataFrame, limits: DataFrame, ran
     (for a chunk from its own start_char on, null where that is null). An item that was delivered repeatedly comes out
     once for each different content.
     """
-    rows = pages.select(F.lit("page").alias("item_kind"), F.col("page_id").alias("item_id"), F.lit(None).cast("string").alias("section_type"), F.lit(0).cast("bigint").alias("base"), "text")
-    rows = rows.unionByName(chunks.select(F.lit("chunk").alias("item_kind"), F.col("chunk_id").alias("item_id"), "section_type", F.col("start_char").cast("bigint").alias("base"), "text"))
-    rows = with_limits(rows, limits).filter("char_length(text) > max_chars").dropDuplicates(["item_kind", "item_id", "section_type", "base", "text"])
-    items = rows.select(F.struct("item_kind", "item_id", "section_type", "base").alias("item"), "max_chars", "overlap", "text")
-    out = split_texts(items, range_bytes)
+    out = split_texts(_oversized(pages, chunks, limits), range_bytes)
     return out.select("item.item_kind", "item.item_id", "item.section_type", "piece_no", (F.col("item.base") + F.col("start")).alias("start_char"), (F.col("item.base") + F.col("end")).alias("end_char"), "text")
 
 
+def piece_checks(pages: DataFrame, chunks: DataFrame, limits: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(item_kind, item_id, within_limit, overlapping, covered, numbered, verbatim) of each oversized item: what holds for its pieces.
+
+    None is longer than the limit, each begins exactly the overlap before the end of the one before (or at 0), together they reach from the text's begin to its end,
+    their numbers run from 1 without a gap, and each is the text at its places.
+    """
+    items = _oversized(pages, chunks, limits)
+    p = _compared(split_texts(items, range_bytes), items)
+    w = Window.partitionBy("item").orderBy("start", "end")  # places of one item's pieces
+    before = F.lag("end").over(w)
+    p = p.withColumn("before", before).withColumn("nth", F.row_number().over(w))
+    per = p.groupBy("item").agg(F.min(F.col("end") - F.col("start") <= F.col("max_chars")).alias("within_limit"), F.min(F.when(F.col("before").isNull(), F.col("start") == 0).otherwise(F.col("start") == F.greatest(F.col("before") - F.col("overlap"), F.lit(0)))).alias("overlapping"), (F.max("end") == F.max("n")).alias("covered"), F.min(F.col("nth") == F.col("piece_no")).alias("numbered"), F.min("same").alias("verbatim"))
+    checks = ("within_limit", "overlapping", "covered", "numbered", "verbatim")
+    return per.groupBy("item.item_kind", "item.item_id").agg(*[F.min(c).alias(c) for c in checks])
+
+
+def _compared(pieces: DataFrame, items: DataFrame) -> DataFrame:
+    whole = items.select(F.col("item").alias("_item"), "max_chars", F.least(F.greatest("overlap", F.lit(0)), F.col("max_chars") - 1).alias("overlap"), F.col("text").alias("whole"))
+    rows = pieces.join(whole, F.col("item").eqNullSafe(F.col("_item")))
+    same = F.substring("whole", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")) == F.col("text")
+    return rows.select("item", "piece_no", "start", "end", "max_chars", "overlap", F.length("whole").alias("n"), same.alias("same"))
+
+
 def split_files(spark: SparkSession, files: list[str], max_chars: int, overlap: int, range_bytes: int = 8 * 2**20) -> DataFrame:
     """Pieces of giant UTF-8 files, none of which is ever loaded as a whole.
 
     (item = the file, piece_no, start, end, text). ``files`` are addresses that pyarrow.fs opens on every executor. A first
-    pass counts the characters of each range, a prefix sum gives the ranges' places, a second pass reads each
-    range with its halo.
+    pass counts the characters of each range and a prefix sum gives the ranges' places; a second one finds the boundaries of each range with its halo and counts its
+    pieces; the last one emits the pieces by their places, numbered by the prefix sum of the counts.
     """
     from pyarrow import fs
 
@@ -209,17 +253,21 @@ def split_files(spark: SparkSession, files: list[str], max_chars: int, overlap:
     counted = counted.withColumn("char0", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n_chars", F.sum("n").over(Window.partitionBy("item")))
     reach = 4 * _reach(max_chars)
 
-    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                item, no = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                at = no * range_bytes
-                halo = min(at, reach)
-                data = read(item, at - halo, halo + range_bytes + 16)
-                one = pa.record_batch(
-                    [pa.array([item]), *(pa.array([x], t) for x, t in ((max_chars, pa.int32()), (overlap, pa.int32()), (b.column(3)[i].as_py(), pa.int64()), (b.column(4)[i].as_py(), pa.int64()), (data[:halo], pa.binary()), (data[halo : halo + range_bytes], pa.binary()), (data[halo + range_bytes :], pa.binary())))],
-                    names=["item", "max_chars", "overlap", "char0", "n_chars", "halo", "body", "ahead"],
-                )
-                yield from _pieces(iter([one]))
-
-    return counted.filter(F.col("n_chars") > max_chars).repartition("item", "range_no").mapInArrow(load, "item string, piece_no bigint, start bigint, end bigint, text string")
+    def load(count: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    item, no = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                    at = no * range_bytes
+                    halo = min(at, reach)
+                    data = read(item, at - halo, halo + range_bytes + 16)
+                    one = pa.record_batch(
+                        [pa.array([item]), *(pa.array([x], t) for x, t in ((no, pa.int32()), (max_chars, pa.int32()), (overlap, pa.int32()), (b.column(3)[i].as_py(), pa.int64()), (b.column(4)[i].as_py(), pa.int64()), (data[:halo], pa.binary()), (data[halo : halo + range_bytes], pa.binary()), (data[halo + range_bytes :], pa.binary())))],
+                        names=["item", "range_no", "max_chars", "overlap", "char0", "n_chars", "halo", "body", "ahead"],
+                    )
+                    yield from _pieces(iter([one]), count)
+
+        return run
+
+    placed = stage(counted.filter(F.col("n_chars") > max_chars), "places").repartition("item", "range_no")  # a row a range
+    return _numbered(placed.mapInArrow(load(False), f"item string, {_PLACED}"), placed.mapInArrow(load(True), "item string, range_no int, n bigint"))

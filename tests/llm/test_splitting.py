@@ -27,7 +27,7 @@ def test_pieces_join_whatever_the_ranges_are():
         parts = []
         for first in range(0, n, size):
             base, stop = max(0, first - S._reach(m)), min(n, first + size)
-            parts += S.pieces_of_range(text[base : stop + 4], base, first, stop, n, m, o)
+            parts += [(len(parts) + k, a, b) for k, a, b in S.pieces_of_range(text[base : stop + 4], base, first, stop, n, m, o)]
         assert whole == parts
         o = min(o, m - 1)
         assert whole[0][:2] == (1, 0) and whole[-1][2] == n and len(whole) > 1 and [k for k, _, _ in whole] == sorted({k for k, _, _ in whole}) and all(0 < b - a <= m for _, a, b in whole)
