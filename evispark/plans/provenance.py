@@ -235,6 +235,7 @@ SQL = {
     "citation_numbering": _NUMBERS + " SELECT * FROM numbers",
     "reference_list": _NUMBERS + " SELECT * FROM entries",
     "citation_replace": _CITED + " SELECT * FROM cited",
+    "reference_entries": _CITED + rf", l AS (SELECT review_draft_id, string_agg('[' || number || '] ' || reference, chr(10) || chr(10) ORDER BY number) AS entries2 FROM entries GROUP BY 1) SELECT review_draft_id, md5(CASE WHEN entries2 IS NULL THEN m ELSE regexp_replace(m, '{_W}+$', '') || chr(10) || chr(10) || '## References' || chr(10) || chr(10) || entries2 END) AS digest FROM three LEFT JOIN l USING (review_draft_id)",
     "title_dedupe": _POOLS + f" SELECT review_draft_id, {_dedupe("('# ' || upper(title) || chr(10) || chr(10) || markdown)", 'title')} AS markdown FROM md JOIN topics USING (review_draft_id)",
     "review_requests": _POOLS + _NUMBERED.replace("SUPPORT", "(SELECT * FROM support WHERE spot[1] = 0)") + """,
 txt AS (SELECT claim_id, min(paper_id) AS paper_id, min(coalesce(nullif(normalized_text, ''), claim_text, '')) AS t FROM extracted_claims WHERE claim_id IS NOT NULL GROUP BY 1),
