@@ -48,10 +48,10 @@ def test_gold(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id": "x", "order": [["a", "b"]]}]')
     case = G.read_agent_cases(spark, f"{tmp_path}/a.json").first()
     assert (case.must_call, case.order, case.max_tool_calls) == ([], [["a", "b"]], 8)
-    (tmp_path / "l.json").write_text('{"fingerprint": "f", "labels": {"k": [{"quote": "q", "claim_type": "odd"}], "z": []}}')
-    labels = G.read_labels(spark, f"{tmp_path}/l.json", "f", "quote: string, claim_type: string")
-    known = spark.createDataFrame([("k",)], "key string")
-    assert [tuple(r) for r in G.label_problems(labels, known, ("finding",)).collect()] == [("k", "unknown type")]
-    assert [tuple(r) for r in G.label_problems(labels, known.limit(0)).collect()] == [("k", "unknown key")]
+    (tmp_path / "l.json").write_text('{"snapshot_fingerprint": "f", "chunks": {"k": [{"quote": "q", "claim_type": "odd"}], "z": []}}')
+    labels = G.read_gold_claims(spark, f"{tmp_path}/l.json", "f")
+    known = spark.createDataFrame([("k", "a q b")], "chunk_key string, text string")
+    assert [tuple(r)[1:] for r in G.claim_problems(labels, known).collect()] == [("k", "unknown type")]
+    assert [tuple(r)[1:] for r in G.claim_problems(labels, known.limit(0)).collect()] == [("k", "unknown chunk")]
     with pytest.raises(Exception, match="another snapshot"):
-        G.read_labels(spark, f"{tmp_path}/l.json", "other", "quote: string").collect()
+        G.read_gold_claims(spark, f"{tmp_path}/l.json", "other").collect()
